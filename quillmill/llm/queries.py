@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.llm.embedding_dedup import embedding_links
 from quillmill.llm.exact_dedup import exact_dedup
+from quillmill.llm.langid import identify, train_on
 from quillmill.llm.mixing import mix
 from quillmill.llm.packing import pack_documents
+from quillmill.llm.secrets import find_secrets
 from quillmill.llm.simhash import simhash_components
 from quillmill.llm.text import WORD
 
@@ -34,11 +37,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def held_out():
+    """A third of the documents, by id, that language identification never learns from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_on(docs, ~held_out())
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def document_quality():
     """Between 0.5 and 1: 1 less half the share of odd characters."""
     length = F.greatest(F.length("text"), F.lit(1))
@@ -56,7 +79,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_langid": op4_langid,
+        "op5_secrets": op5_secrets,
         "op6_simhash": op6_simhash,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
     }
