@@ -24,10 +24,10 @@ from quillmill.llm.text import lower_ascii
 BROADCAST_GROUPS = 200_000
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest_all: bool) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest_all: bool, row_col: str | None = None) -> DataFrame:
     norm = lower_ascii(F.col(text_col))
     cols = [
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.octet_length(norm).cast("long").alias("n_bytes"),
         F.xxhash64(lower_ascii(F.substring(F.col(text_col), 1, prefix_chars))).alias("prefix"),
@@ -41,8 +41,8 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = False, row_col: str | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``, and ``row`` if ``row_col`` names a unique long.
 
     Of equal texts the row with the largest id stays (null ids come last; of
     rows that also share their id exactly one stays). ``text_sha256`` is null
@@ -50,27 +50,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``digest_all``. Null text counts as empty; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, prefix_chars, digest_all), "exact-fp")
+    prints = materialize(fingerprints(docs, id_col, text_col, prefix_chars, digest_all, row_col), "exact-fp")
+    extra = ["row"] if row_col else []
     lengths = _repeated(prints, "n_bytes")
     survivors = prints.join(lengths, "n_bytes", "left_semi")
     groups = _repeated(survivors, "n_bytes", "prefix")
     if digest_all:
-        full = survivors.join(groups, ["n_bytes", "prefix"], "left_semi")
-    else:
-        groups = materialize(groups, "exact-groups")
-        small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-        rows = fingerprints(docs, id_col, text_col, prefix_chars, False)
+        return _finish(prints, survivors.join(groups, ["n_bytes", "prefix"], "left_semi"), extra)
+    groups = materialize(groups, "exact-groups")
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:  # only surviving rows get their whole text hashed
         norm = lower_ascii(F.col(text_col))
-        if small:  # only surviving rows get their whole text hashed
-            rows = docs.withColumns({"n_bytes": F.octet_length(norm).cast("long"), "prefix": F.xxhash64(lower_ascii(F.substring(F.col(text_col), 1, prefix_chars)))})
-            rows = rows.join(F.broadcast(groups), ["n_bytes", "prefix"], "left_semi")
-            full = rows.select(F.col(id_col).cast("long").alias("doc_id"), "n_bytes", "prefix", F.sha2(norm, 256).alias("sha256"))
-        else:
-            full = fingerprints(docs, id_col, text_col, prefix_chars, True).join(groups, ["n_bytes", "prefix"], "left_semi")
-        full = full.withColumn("row", F.monotonically_increasing_id())
-        full = materialize(full, "exact-full")
-        return _finish(_with_unique(prints, full), full)
-    return _finish(prints, full)
+        rows = docs.select(
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
+            F.col(id_col).cast("long").alias("doc_id"),
+            norm.alias("norm"),
+            F.octet_length(norm).cast("long").alias("n_bytes"),
+            F.xxhash64(lower_ascii(F.substring(F.col(text_col), 1, prefix_chars))).alias("prefix"),
+        )
+        rows = rows.join(F.broadcast(groups), ["n_bytes", "prefix"], "left_semi").select("row", "doc_id", "n_bytes", "prefix", F.sha2("norm", 256).alias("sha256"))
+    else:
+        rows = fingerprints(docs, id_col, text_col, prefix_chars, True, row_col).join(groups, ["n_bytes", "prefix"], "left_semi")
+    full = materialize(rows, "exact-full")
+    return _finish(_with_unique(prints, full), full, extra)
 
 
 def _with_unique(prints: DataFrame, full: DataFrame) -> DataFrame:
@@ -80,11 +81,12 @@ def _with_unique(prints: DataFrame, full: DataFrame) -> DataFrame:
     return full.select("row", "doc_id", "sha256").unionByName(rest.select("row", "doc_id", "sha256"))
 
 
-def _finish(rows: DataFrame, full: DataFrame) -> DataFrame:
+def _finish(rows: DataFrame, full: DataFrame, extra: list[str]) -> DataFrame:
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("neg_row"))).alias("best")
     groups = full.groupBy("sha256").agg(F.count("*").alias("n"), best).filter("n > 1")
     joined = rows.join(groups, "sha256", "left")
     return joined.select(
+        *extra,
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),

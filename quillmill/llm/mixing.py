@@ -58,8 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return ranked.select(*sizes.columns, target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 20_000, seed: str = "mix", **targets) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken``.
+def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 20_000, seed: str = "mix", row_col: str | None = None, **targets) -> DataFrame:
+    """One row per input row: ``doc_id, size, source_size, target, taken``, and ``row, times`` if ``row_col`` names a unique long.
 
     ``taken`` is size times the whole epochs, plus size once more if the
     document falls into the fractional selection: the prefix of the source's
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     """
     weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         count_words(F.col(text_col)).alias("size"),
@@ -102,4 +102,5 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     extra = rest.groupBy("source").agg(F.min_by("row", F.struct("off", (-F.col("rank_key")).alias("k"), "doc_id", "row")).alias("extra"))
     rows = rows.alias("r").join(extra.alias("e"), F.expr("r.source <=> e.source"), "left").select("r.*", "e.extra")
     times = F.col("epochs") + F.when(F.col("chosen") | F.coalesce(F.col("row") == F.col("extra"), F.lit(False)), 1).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+    extra = ["row", times.cast("int").alias("times")] if row_col else []
+    return rows.select(*extra, "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))

@@ -16,7 +16,9 @@ forest, which keeps every component while the rows stay linear.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -196,3 +198,185 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, id_co
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     names = labelled.join(smallest, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+# Looser similarities than three bits of 64: wide fingerprints, whose number of segments follows from the asked recall.
+
+
+@dataclass(frozen=True)
+class WidePlan:
+    bits: int  # of a segment
+    segments: int
+    most: float  # largest share of differing bits
+    coarse: int  # most differing bits of the first 64
+
+    @property
+    def words(self) -> int:
+        return -(-self.bits * self.segments // 64)
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which two fingerprints of sets with this Jaccard similarity and equal size differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_plan(n: int, similarity: float, recall: float = 0.97) -> WidePlan:
+    """Segments of about log2(n) + 2 bits, as many as find a pair exactly at ``similarity`` with ``recall``."""
+    p = differing_share(similarity)
+    bits = min(40, max(20, math.ceil(math.log2(max(n, 2))) + 2))
+    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
+    spread = math.sqrt(p * (1 - p))
+    return WidePlan(bits, segments, p + 2.5 * spread / math.sqrt(bits * segments), math.ceil(64 * p + 4 * 8 * spread))
+
+
+def wide_bits(hashes: np.ndarray, words: int, chunk: int = 20_000) -> np.ndarray:
+    """Majority bits over ``words`` independent 64-bit hashes of each shingle; repeats count once."""
+    hashes = np.unique(hashes)
+    counts = np.zeros((words, 64), dtype=np.int64)
+    for at in range(0, len(hashes), chunk):
+        part = hashes[at : at + chunk]
+        for w in range(words):
+            x = (part ^ np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+            x ^= x >> np.uint64(33)
+            counts[w] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").reshape(-1).view("<u8")
+
+
+def wide_prints(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, plan: WidePlan) -> DataFrame:
+    """``row, doc_id, fp, wide``: fp is the first 64 bits, wide all of them."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_bits(shingle_hashes(t.as_py(), words), plan.words) for t in batch.column(2)]
+            first = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["row", "doc_id", "fp", "wide"])
+
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(prints, "row long, doc_id long, fp long, wide binary")
+
+
+def wide_variants(prints: DataFrame, plan: WidePlan) -> DataFrame:
+    """``key, fp``: a row per segment and deleted bit; the key's lowest bit is the one that was deleted."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(fps), -1)
+            bits = np.unpackbits(wide, axis=1, bitorder="little")
+            for s in range(plan.segments):
+                mine = bits[:, s * plan.bits : (s + 1) * plan.bits].astype(np.int64)
+                value = mine @ (1 << np.arange(plan.bits, dtype=np.int64))
+                for k in range(plan.bits):
+                    masked = value - (mine[:, k] << k)
+                    key = ((s * plan.bits + k) << (plan.bits + 1)) | (masked << 1) | mine[:, k]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps)], ["key", "fp"])
+
+    return prints.select("fp", "wide").mapInArrow(expand, "key long, fp long")
+
+
+def _star(keys: np.ndarray, fps: np.ndarray, plan: WidePlan) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of sorted (key, fp): in a group, each member with the first that has the other
+    deleted bit (any bit where the segment may be equal) and with the member before."""
+    group, bit = keys >> 1, keys & 1
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.concatenate([start, [len(keys)]]))
+    lead = np.repeat(start, size)
+    ones = np.add.reduceat(bit, start)
+    first_one = np.repeat(start + size - ones, size)  # the zeros sort before the ones
+    zeros, some = np.repeat(size - ones, size) > 0, np.repeat(ones, size) > 0
+    equal = (group >> plan.bits) % plan.bits == 0
+    at = np.arange(len(keys))
+    a = [at[(bit == 1) & zeros], at[(bit == 0) & some], at[equal & (at > lead)], at[equal & (at > lead)]]
+    b = [lead[(bit == 1) & zeros], first_one[(bit == 0) & some], lead[equal & (at > lead)], at[equal & (at > lead)] - 1]
+    i, j = np.concatenate(a), np.concatenate(b)
+    x, y = fps[i], fps[j]
+    near = (x != y) & (np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= plan.coarse)
+    x, y = x[near], y[near]
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def wide_pairs(nodes: DataFrame, plan: WidePlan) -> DataFrame:
+    """``a, b``: pairs of ``nodes`` (fp, wide) that share a variant and differ in at most ``plan.most`` of all bits.
+
+    A variant's group is linked as a star and a chain, which keeps the rows linear in its size; a pair has as many
+    chances as there are segments. Groups are runs of sorted (key, fp) rows, of which a task holds one at a time.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            k, f = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate((held_k, held_f)))
+            cut = int(np.searchsorted(k, (k[-1] >> 1) << 1)) if len(k) else 0
+            held_k, held_f = k[cut:], f[cut:]
+            if cut:
+                a, b = _star(k[:cut], f[:cut], plan)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if len(held_k):
+            a, b = _star(held_k, held_f, plan)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = wide_variants(nodes, plan).repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "fp")
+    pairs = rows.mapInArrow(link, "a long, b long").distinct()
+    left = nodes.select(F.col("fp").alias("a"), F.col("wide").alias("wa"))
+    right = nodes.select(F.col("fp").alias("b"), F.col("wide").alias("wb"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wa, wb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+            ok = np.bitwise_count(wa ^ wb).sum(axis=1) <= plan.most * 64 * plan.words
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return joined.mapInArrow(verify, "a long, b long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least ``similarity``. texts: fp, text."""
+    left, right = (texts.select(F.col("fp").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for ta, tb in zip(batch.column(2), batch.column(3)):
+                x, y = (np.unique(shingle_hashes(t.as_py(), words)) for t in (ta, tb))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return joined.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: float = 0.8, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``row, doc_id, component, kept``; one row of each component is kept.
+
+    Candidates come from fingerprints of several hundred bits; documents link if
+    the Jaccard similarity of their sets of word shingles is ``similarity`` or
+    more. Each candidate is first compared with the smallest it is paired with; pairs that this
+    has joined already need no comparison. ``recall`` is the chance that a pair exactly
+    at the limit becomes a candidate; nearer pairs have more. ``row_col`` holds a unique
+    long. The row with the smallest doc_id stays (nulls last, then the smallest row). Documents without words link with one another.
+    An empty table gives an empty result.
+    """
+    plan = wide_plan(docs.count(), similarity, recall)
+    prints = materialize(wide_prints(docs, row_col, id_col, text_col, words, plan), "wide-fp")
+    nodes = materialize(prints.groupBy("fp").agg(F.min_by("wide", "row").alias("wide"), F.min("row").alias("row")), "wide-nodes")
+    pairs = materialize(wide_pairs(nodes, plan), "wide-pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp")
+    text = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    texts = materialize(text.join(involved, "row").select("fp", "text"), "wide-texts")
+    first = materialize(similar(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, words, similarity), "wide-first")
+    known = materialize(connected_components(first), "wide-known")
+    rest = pairs
+    for end in ("a", "b"):
+        rest = rest.join(known.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    rest = materialize(similar(rest.filter("ra <> rb"), texts, words, similarity), "wide-rest")
+    roots = connected_components(first.unionByName(rest))
+    rows = prints.select("row", "doc_id", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rows = materialize(rows.select("row", "doc_id", F.coalesce("root", "fp").alias("component")), "wide-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first_row = rows.groupBy("component").agg(F.min(order).alias("first"))
+    return rows.join(first_row, "component").select("row", "doc_id", "component", (F.col("row") == F.col("first.row")).alias("kept"))
