@@ -16,7 +16,7 @@ import numpy as np
 #: Bounds of the per-process caches, in entries.
 MAX_WORDS, MAX_PIECES = 150_000, 150_000
 # The split pattern of word_bpe_49k.json, restricted to the characters of _PLAIN.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 
 
