@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.embedding_dedup import embedding_links
 from quillmill.llm.exact_dedup import exact_dedup
+from quillmill.llm.html_extract import main_text
 from quillmill.llm.langid import identify, train_on
+from quillmill.llm.licenses import scan_licenses
 from quillmill.llm.mixing import mix
 from quillmill.llm.packing import pack_documents
 from quillmill.llm.secrets import find_secrets
 from quillmill.llm.simhash import simhash_components
+from quillmill.llm.substring_dedup import remove_repeats
 from quillmill.llm.text import WORD
 
 #: Name of the public vocabulary file that documents are packed with.
@@ -37,6 +40,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def held_out():
     """A third of the documents, by id, that language identification never learns from."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -62,6 +73,16 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def document_path():
+    """Documents lie in a folder per source and language."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt"))
+    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), name)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), document_path())
+
+
 def document_quality():
     """Between 0.5 and 1: 1 less half the share of odd characters."""
     length = F.greatest(F.length("text"), F.lit(1))
@@ -79,10 +100,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_html_extract": op2_html_extract,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_langid": op4_langid,
         "op5_secrets": op5_secrets,
         "op6_simhash": op6_simhash,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
     }
