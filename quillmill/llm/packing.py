@@ -38,9 +38,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = ids_with_end(text.as_py(), vocabulary, end_id)
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
+                for k, at in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * at : 4 * (at + capacity)]
+                    rows.append((doc_id, k, at, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])

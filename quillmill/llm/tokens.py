@@ -9,12 +9,11 @@ through the whole tokenizer.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: Bounds of the per-process caches, in entries.
-MAX_WORDS, MAX_PIECES = 150_000, 150_000
+MAX_WORDS, MAX_PIECES = 400_000, 300_000
 # The split pattern of word_bpe_49k.json, restricted to the characters of _PLAIN.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
@@ -34,37 +33,39 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.words: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            ids = packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
             if len(self.pieces) >= MAX_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
-    def _word(self, raw: bytes) -> list[int]:
+    def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if _PLAIN(word) and "<|" not in word:
             pieces = _PIECE.findall(word.lower())
-            ids = self._piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self._piece(p)]
+            ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
         else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
+            ids = packed(self.whole.encode(word, add_special_tokens=False).ids)
         if len(raw) <= 64:
             if len(self.words) >= MAX_WORDS:
                 self.words.clear()
             self.words[raw] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> bytes:
+        """The ids, each as a little-endian unsigned 32-bit number."""
         known, miss = self.words.get, self._word
-        for raw in text.encode().split():  # bytes.split() parts at ASCII white space only
-            out += known(raw) or miss(raw)
-        return out
+        return b"".join([known(raw) or miss(raw) for raw in text.encode().split()])  # parts at ASCII white space only
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -72,5 +73,5 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def ids_with_end(text: str | None, path: str, end: int) -> np.ndarray:
-    return np.array([*tokenizer(path).encode(text or ""), end], dtype="<u4")
+def ids_with_end(text: str | None, path: str, end: int) -> bytes:
+    return tokenizer(path).encode(text or "") + packed([end])
