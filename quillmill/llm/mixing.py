@@ -6,9 +6,11 @@ without replacement. Whole epochs of a source come first, then the prefix of
 its keys that fills what is left of its budget.
 
 The prefix sum is taken in two levels, since one source may hold a third of
-all rows: keys are cut into buckets of about ``rows_per_bucket`` rows by a
-monotone map, sums run inside a bucket, and the buckets' totals (a few rows
-per source) give each bucket its start.
+all rows: the keys of a source with n documents are cut into about sqrt(n)
+buckets by a monotone map, sums run inside a bucket, and the buckets' totals
+give each bucket its start, so no task sorts more than some sqrt(n) rows of a
+source at a time. Buckets are even for quality weights within a factor of about
+four of each other.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return ranked.select(*sizes.columns, target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 20_000, seed: str = "mix", row_col: str | None = None, **targets) -> DataFrame:
+def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", row_col: str | None = None, **targets) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken``, and ``row, times`` if ``row_col`` names a unique long.
 
     ``taken`` is size times the whole epochs, plus size once more if the
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     plan = source_targets(sizes, **targets)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = plan.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / rows_per_bucket)))
+    plan = plan.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.sqrt("n_docs"))))
     plan = materialize(plan, "mix-plan")
 
     rows = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "source_size", "target", "epochs", "budget", "n_buckets")
