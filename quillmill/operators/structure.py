@@ -14,35 +14,38 @@ from quillmill.operators.geometry import PAGE, clusters
 HYPHENS = "-­"
 
 
-def body_font_size(blocks: DataFrame) -> DataFrame:
-    """``doc_id, page, body_size``: the size of the character in the middle, by characters in order of size."""
-    sized = blocks.groupBy(*PAGE, "size").agg(F.sum(F.greatest(F.lit(1), F.length("text"))).alias("n"))
+def with_body_size(blocks: DataFrame) -> DataFrame:
+    """``blocks`` and body_size: the size of the page's character in the middle, by characters in order of size."""
     page = W.partitionBy(*PAGE)
-    sized = sized.withColumn("upto", F.sum("n").over(page.orderBy("size"))).withColumn("total", F.sum("n").over(page))
-    return sized.filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(*PAGE).agg(F.min("size").alias("body_size"))
+    weight = F.greatest(F.lit(1), F.length("text"))
+    rows = blocks.withColumn("_upto", F.sum(weight).over(page.orderBy("size"))).withColumn("_total", F.sum(weight).over(page))
+    return rows.withColumn("body_size", F.min(F.when(F.col("_upto") > F.floor(F.col("_total") / 2), F.col("size"))).over(page)).drop("_upto", "_total")
 
 
-def reference_width(blocks: DataFrame) -> DataFrame:
-    return blocks.filter(~T.is_blank(F.col("text"))).groupBy(*PAGE).agg((F.max("x1") - F.min("x0")).alias("ref_width"), F.min("x0").alias("page_x0"), F.max("x1").alias("page_x1"))
+def with_reference_width(blocks: DataFrame) -> DataFrame:
+    """``blocks`` and the page's page_x0, page_x1 and ref_width between them."""
+    page = W.partitionBy(*PAGE)
+    rows = blocks.withColumn("page_x0", F.min("x0").over(page)).withColumn("page_x1", F.max("x1").over(page))
+    return rows.withColumn("ref_width", F.col("page_x1") - F.col("page_x0"))
 
 
-def headings(blocks: DataFrame) -> DataFrame:
-    """``blocks`` (with body_size) that look like headings, with level and confidence."""
-    clean = T.collapse_ws(F.col("text"))
-    rows = blocks.withColumn("clean", clean)
+def with_headings(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (with body_size) and level (null if it is no heading), signals and heading_confidence."""
+    rows = blocks.withColumn("clean", T.collapse_ws(F.col("text")))
     ratio = F.when(F.col("body_size") > 0, F.col("size") / F.col("body_size")).otherwise(1.0)
     signals = F.when(ratio >= 1.15, 2).otherwise(0) + F.when(F.col("flags").bitwiseAND(16) != 0, 1).otherwise(0) + F.when(F.col("clean").rlike(C.NUMBERING), 2).otherwise(0)
     first = F.col("clean").rlike(rf"(?i)^bab[{C.WS}]+[^{C.WS}]")
     level = F.when((ratio >= 1.5) | first, 1).when(ratio >= 1.25, 2).otherwise(3)
-    rows = rows.withColumn("signals", signals).withColumn("level", level)
-    rows = rows.filter((F.col("clean") != "") & (F.length("clean") <= 90) & ~T.ends_terminal(F.col("clean")) & (F.col("signals") >= 2))
-    return rows.withColumn("confidence", F.least(F.lit(0.9), F.lit(0.5) + F.col("signals") * 0.1))
+    rows = rows.withColumn("signals", signals)
+    fits = (F.col("clean") != "") & (F.length("clean") <= 90) & ~T.ends_terminal(F.col("clean")) & (F.col("signals") >= 2)
+    return rows.withColumn("level", F.when(fits, level)).withColumn("heading_confidence", F.least(F.lit(0.9), F.lit(0.5) + F.col("signals") * 0.1))
 
 
-def footnotes(blocks: DataFrame, height: float) -> DataFrame:
-    """``blocks`` (with body_size) that look like footnotes, with their marker."""
-    rows = blocks.withColumn("clean", T.collapse_ws(F.col("text"))).withColumn("marker", F.regexp_extract("clean", C.FOOTNOTE_MARKER, 1))
-    return rows.filter((F.col("body_size") > 0) & (F.col("y0") >= height * 0.75) & (F.length("clean") <= 400) & (F.col("size") <= F.col("body_size") * 0.98) & (F.col("marker") != ""))
+def footnote_marker(height: float) -> Column:
+    """The marker of a block (with body_size and clean) that looks like a footnote, else null."""
+    marker = F.regexp_extract("clean", C.FOOTNOTE_MARKER, 1)
+    small = (F.col("body_size") > 0) & (F.col("size") <= F.col("body_size") * 0.98)
+    return F.when(small & (F.col("y0") >= height * 0.75) & (F.length("clean") <= 400) & (marker != ""), marker)
 
 
 def caption_like(text: Column, size: Column, body: Column) -> Column:
@@ -68,15 +71,15 @@ def is_quote(text: Column, x0: Column, x1: Column, page_x0: Column, page_x1: Col
 def paragraph_flow(blocks: DataFrame) -> DataFrame:
     """One row per paragraph, heading or footnote of pages without a gutter.
 
-    ``blocks``: ord, text, box, size, ref_width, is_heading, marker. All that a
-    block's fate depends on is in the block before it, so two windows do. Letterless
+    ``blocks``: ord, text, box, size, ref_width, page_x0, page_x1, level (of
+    headings) and marker (of footnotes). All that a block's fate depends on is in the block before it, so two windows do. Letterless
     fragments join the open paragraph as they are and leave its box alone.
     """
     page = W.partitionBy(*PAGE)
     order = page.orderBy("ord")
     rows = blocks.withColumn("before_x0", F.lag("x0").over(order)).withColumn("before_x1", F.lag("x1").over(order))
     rows = rows.withColumn("clean", T.collapse_ws(F.col("text"))).filter("clean <> ''")
-    rows = rows.withColumn("solo", F.col("is_heading") | F.col("marker").isNotNull())
+    rows = rows.withColumn("is_heading", F.col("level").isNotNull()).withColumn("solo", F.col("is_heading") | F.col("marker").isNotNull())
     same_column = ~((F.col("x0") > F.col("before_x1") + 20) | (F.col("before_x0") > F.col("x1") + 20))
     fits = same_column & (F.abs(F.col("size") - F.lag("size").over(order)) <= 1.0) & ~T.ends_terminal(F.lag("clean").over(order))
     fits = fits & (F.greatest(F.lit(0.0), F.lag(F.col("x1") - F.col("x0")).over(order)) >= F.col("ref_width") * 0.55)
@@ -99,7 +102,11 @@ def paragraph_flow(blocks: DataFrame) -> DataFrame:
         F.max_by("y1", F.when(whole, F.col("ord"))).alias("y1"),
         F.bool_or("is_heading").alias("is_heading"),
         F.max("marker").alias("marker"),
+        F.max("level").alias("level"),
         F.min("ord").alias("ord"),
+        F.first("ref_width").alias("ref_width"),
+        F.first("page_x0").alias("page_x0"),
+        F.first("page_x1").alias("page_x1"),
     )
     confidence = F.when(F.col("marker").isNotNull(), 0.7).when(F.col("n_merged") > 0, 0.75).otherwise(0.95)
     return out.withColumn("confidence", confidence)

@@ -19,8 +19,7 @@ H, WD = K.HEIGHT, K.WIDTH
 
 def filled(spark, sf_dir):
     """Non-blank blocks with their page's body size."""
-    rows = K.blocks(spark, sf_dir).filter(~T.is_blank(F.col("text")))
-    return rows.join(S.body_font_size(rows), G.PAGE)
+    return S.with_body_size(K.blocks(spark, sf_dir).filter(~T.is_blank(F.col("text"))))
 
 
 BODY = f"""{L.FILLED},
@@ -37,12 +36,13 @@ NOTES = f"""notes AS (SELECT *, regexp_extract(clean, '{C.FOOTNOTE_MARKER}', 1)
 
 @query("body_font_size", K.with_corpora(f", {BODY} SELECT doc_id, page, body_size FROM body"))
 def body_font_size(spark, sf_dir):
-    return S.body_font_size(K.blocks(spark, sf_dir).filter(~T.is_blank(F.col("text"))))
+    return filled(spark, sf_dir).groupBy(*G.PAGE).agg(F.first("body_size").alias("body_size"))
 
 
 @query("reference_width", K.with_corpora(f", {L.FILLED} SELECT doc_id, page, max(x1) - min(x0) AS ref_width FROM filled GROUP BY ALL"))
 def reference_width(spark, sf_dir):
-    return S.reference_width(K.blocks(spark, sf_dir)).select(*G.PAGE, "ref_width")
+    rows = K.blocks(spark, sf_dir).filter(~T.is_blank(F.col("text")))
+    return S.with_reference_width(rows).groupBy(*G.PAGE).agg(F.first("ref_width").alias("ref_width"))
 
 
 @query("font_stats", K.with_corpora(f", {L.FILLED} SELECT doc_id, page, max(size) AS max_size, arg_max(greatest(0::DOUBLE, x1 - x0), block_no) AS last_width FROM filled GROUP BY ALL"))
@@ -53,12 +53,14 @@ def font_stats(spark, sf_dir):
 
 @query("headings", K.with_corpora(f", {BODY}, {HEADINGS} SELECT doc_id, page, block_no, level, signals, confidence_tenths FROM headings"))
 def headings(spark, sf_dir):
-    return S.headings(filled(spark, sf_dir)).select(*G.PAGE, "block_no", "level", "signals", F.floor(F.col("confidence") * 10 + 0.5).cast("int").alias("confidence_tenths"))
+    rows = S.with_headings(filled(spark, sf_dir)).filter("level is not null")
+    return rows.select(*G.PAGE, "block_no", "level", "signals", F.floor(F.col("heading_confidence") * 10 + 0.5).cast("int").alias("confidence_tenths"))
 
 
 @query("footnote_candidates", K.with_corpora(f", {BODY}, {NOTES} SELECT doc_id, page, block_no, marker FROM notes"))
 def footnote_candidates(spark, sf_dir):
-    return S.footnotes(filled(spark, sf_dir), H).select(*G.PAGE, "block_no", "marker")
+    rows = filled(spark, sf_dir).withColumn("clean", T.collapse_ws(F.col("text")))
+    return rows.select(*G.PAGE, "block_no", S.footnote_marker(H).alias("marker")).filter("marker is not null")
 
 
 _STRIPPED = rf"regexp_replace(text, '\A[{C.WS}]+|[{C.WS}]+\z', '', 'g')"
@@ -89,13 +91,9 @@ def image_caption_join(spark, sf_dir):
 
 def flow_blocks(spark, sf_dir):
     """Blocks of one-column documents in reading order, with what paragraph building asks for."""
-    rows = K.blocks(spark, sf_dir).filter("doc_id % 4 <> 0 and block_no not in (0, 7)")
-    text = rows.filter(~T.is_blank(F.col("text")))
-    rows = text.join(S.body_font_size(text), G.PAGE).join(S.reference_width(text), G.PAGE)
-    rows = rows.join(S.headings(rows).select(*G.PAGE, "block_no", "level"), [*G.PAGE, "block_no"], "left")
-    rows = rows.join(S.footnotes(rows, H).select(*G.PAGE, "block_no", "marker"), [*G.PAGE, "block_no"], "left")
-    rows = rows.withColumn("marker", F.when(F.col("level").isNull(), F.col("marker")))
-    return rows.withColumn("is_heading", F.col("level").isNotNull()).withColumn("ord", F.col("block_no"))
+    rows = K.blocks(spark, sf_dir).filter("doc_id % 4 <> 0 and block_no not in (0, 7)").filter(~T.is_blank(F.col("text")))
+    rows = S.with_headings(S.with_reference_width(S.with_body_size(rows)))
+    return rows.withColumn("marker", F.when(F.col("level").isNull(), S.footnote_marker(H))).withColumn("ord", F.col("block_no"))
 
 
 def paragraphs(spark, sf_dir):
@@ -130,13 +128,15 @@ QUOTE = f"length(text) <= 450 AND regexp_matches(text, '[^{C.WS}]') AND ref_widt
 @query("quotes", K.with_corpora(f", {PARAGRAPHS}, {K.IMAGES}, {CAPTIONS} SELECT p.doc_id, p.page, p.para, p.text FROM paragraphs p LEFT JOIN (SELECT DISTINCT doc_id, page, block_no::VARCHAR AS block_numbers, true AS captioned FROM captions) c USING (doc_id, page, block_numbers) WHERE {QUOTE} AND captioned IS NULL"))
 def quotes(spark, sf_dir):
     """Single blocks indented on both sides that are no caption."""
-    rows = paragraphs(spark, sf_dir)
-    flow = flow_blocks(spark, sf_dir)
-    rows = rows.join(flow.groupBy(*G.PAGE).agg(F.min("ref_width").alias("ref_width"), F.min("page_x0").alias("page_x0"), F.min("page_x1").alias("page_x1")), G.PAGE)
-    captions = S.image_captions(K.images(K.blocks(spark, sf_dir)), flow).select(*G.PAGE, F.col("block_no").cast("string").alias("block_numbers")).distinct()
-    rows = rows.join(captions.withColumn("captioned", F.lit(True)), [*G.PAGE, "block_numbers"], "left")
+    return with_quotes(spark, sf_dir).filter("quote").select(*G.PAGE, "para", "text")
+
+
+def with_quotes(spark, sf_dir):
+    """Paragraphs and whether they are quotes."""
+    captions = S.image_captions(K.images(K.blocks(spark, sf_dir)), flow_blocks(spark, sf_dir)).select(*G.PAGE, F.col("block_no").cast("string").alias("block_numbers")).distinct()
+    rows = paragraphs(spark, sf_dir).join(captions.withColumn("captioned", F.lit(True)), [*G.PAGE, "block_numbers"], "left")
     plain = (F.col("n_blocks") == 1) & ~F.col("is_heading") & F.col("marker").isNull() & F.col("captioned").isNull()
-    return rows.filter(S.is_quote(F.col("text"), F.col("x0"), F.col("x1"), F.col("page_x0"), F.col("page_x1"), F.col("ref_width"), plain)).select(*G.PAGE, "para", "text")
+    return rows.withColumn("quote", S.is_quote(F.col("text"), F.col("x0"), F.col("x1"), F.col("page_x0"), F.col("page_x1"), F.col("ref_width"), plain))
 
 
 LISTS = rf"""eligible AS (SELECT *, CASE WHEN NOT is_heading AND marker IS NULL THEN regexp_extract(text, '{C.LIST_MARKER}') ELSE '' END AS list_marker, NOT is_heading AND marker IS NULL AND regexp_matches(text, '^\p{{Ll}}')
@@ -239,10 +239,8 @@ document_blocks AS (SELECT *, concat('block-', CASE WHEN seq < 1000 THEN lpad(se
 
 def document_blocks(spark, sf_dir):
     """doc_id, block_id, seq, page, para, type, level, text, confidence, box: a document's blocks in order."""
-    rows = paragraphs(spark, sf_dir).join(quotes(spark, sf_dir).select(*G.PAGE, "para", F.lit(True).alias("quote")), [*G.PAGE, "para"], "left")
-    levels = flow_blocks(spark, sf_dir).filter("level is not null").select(*G.PAGE, F.col("block_no").alias("ord"), "level")
-    rows = rows.join(levels, [*G.PAGE, "ord"], "left")
-    kind = F.when(F.col("marker").isNotNull(), "footnote").when(F.col("is_heading"), "heading").when(F.col("quote").isNotNull(), "quote").otherwise("paragraph")
+    rows = with_quotes(spark, sf_dir)
+    kind = F.when(F.col("marker").isNotNull(), "footnote").when(F.col("is_heading"), "heading").when(F.col("quote"), "quote").otherwise("paragraph")
     rows = rows.withColumn("type", kind).withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "para")))
     return rows.withColumn("block_id", F.format_string("block-%03d", "seq")).drop("quote")
 
@@ -263,7 +261,7 @@ def caption_links(spark, sf_dir):
     """Images to the paragraph that captions them, if the caption became one."""
     flow = flow_blocks(spark, sf_dir)
     captions = S.image_captions(K.images(K.blocks(spark, sf_dir)), flow)
-    members = document_blocks(spark, sf_dir).filter("type = 'paragraph'").select(*G.PAGE, "block_id", F.explode(F.split("block_numbers", ",")).cast("int").alias("block_no"))
+    members = document_blocks(spark, sf_dir).filter("type = 'paragraph'").select(*G.PAGE, "block_id", F.explode(F.split("block_numbers", ",").cast("array<int>")).alias("block_no"))
     return captions.join(members, [*G.PAGE, "block_no"], "left").select(*G.PAGE, "idx", "block_id")
 
 
