@@ -22,6 +22,8 @@ from pyspark.sql import Window as W
 from quillmill.llm.store import materialize
 from quillmill.llm.text import count_words
 
+#: Documents of average size behind the prefix that may fill what it leaves open.
+FILL = 256
 #: 13 hex digits of MD5 are 52 bits: exact in a double.
 _SPAN = float(2**52)
 
@@ -65,9 +67,8 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
 
     ``taken`` is size times the whole epochs, plus size once more if the
     document falls into the fractional selection: the prefix of the source's
-    keys whose sum is within the budget, and one document more, that whose size
-    is nearest to what is then left, if that brings the source nearer to its
-    target. ``quality`` is a positive weight (null or not positive: 1). Null text has size 0, rows
+    keys whose sum is within the budget, and of the next documents in the order
+    of keys those that still fit. ``quality`` is a positive weight (null or not positive: 1). Null text has size 0, rows
     with a null source form a source, ties of the key go by id, and an empty
     table gives an empty result. Other columns are ignored.
     """
@@ -85,9 +86,10 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.sqrt("n_docs"))))
+    plan = plan.withColumn("reach", F.lit(float(FILL)) * F.col("source_size") / F.col("n_docs"))
     plan = materialize(plan, "mix-plan")
 
-    rows = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "source_size", "target", "epochs", "budget", "n_buckets")
+    rows = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "source_size", "target", "epochs", "budget", "n_buckets", "reach")
     # u**(1/w), largest first, is the order of -ln(u)/w
     rows = rows.withColumn("bucket", F.least(F.floor((1 - F.col("rank_key")) * F.col("n_buckets")), F.col("n_buckets") - 1))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -98,11 +100,19 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     rows = rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source and r.bucket = s.bucket")).select("r.*", "s.start")
     rows = materialize(rows.withColumn("chosen", F.col("start") + F.col("within") <= F.col("budget")), "mix-chosen")
 
+    # what the prefix leaves open is filled in key order from the next documents that fit; both lists are bounded by FILL
     gaps = rows.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    rest = rows.filter("not chosen").select("source", "row", "size", "rank_key", "doc_id").alias("r").join(gaps.alias("g"), F.expr("r.source <=> g.source"))
-    rest = rest.filter("abs(r.size - g.gap) < g.gap").select("r.*", F.expr("abs(r.size - g.gap)").alias("off"))
-    extra = rest.groupBy("source").agg(F.min_by("row", F.struct("off", (-F.col("rank_key")).alias("k"), "doc_id", "row")).alias("extra"))
-    rows = rows.alias("r").join(extra.alias("e"), F.expr("r.source <=> e.source"), "left").select("r.*", "e.extra")
-    times = F.col("epochs") + F.when(F.col("chosen") | F.coalesce(F.col("row") == F.col("extra"), F.lit(False)), 1).otherwise(0)
+    after = rows.filter("not chosen and size > 0").filter(F.col("start") + F.col("within") - F.col("size") <= F.col("budget") + F.col("reach"))
+    lists = after.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("rank_key")).alias("k"), "doc_id", "row", "size"))).alias("next"))
+    state = F.struct(F.col("gap"), F.array().cast("array<bigint>").alias("rows"))
+
+    def fill(acc: Column, d: Column) -> Column:
+        fits = d["size"] <= acc["gap"]
+        return F.struct(F.when(fits, acc["gap"] - d["size"]).otherwise(acc["gap"]).alias("gap"), F.when(fits, F.array_append(acc["rows"], d["row"])).otherwise(acc["rows"]).alias("rows"))
+
+    both = lists.alias("l").join(gaps.alias("g"), F.expr("l.source <=> g.source")).select("l.next", "g.gap")
+    extra = both.select(F.explode(F.aggregate("next", state, fill, lambda acc: acc["rows"])).alias("extra"))
+    rows = rows.join(extra, F.col("row") == F.col("extra"), "left")
+    times = F.col("epochs") + F.when(F.col("chosen") | F.col("extra").isNotNull(), 1).otherwise(0)
     extra = ["row", times.cast("int").alias("times")] if row_col else []
     return rows.select(*extra, "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))

@@ -120,13 +120,13 @@ FROM d WINDOW w AS (PARTITION BY h)
 """
 
 OP9_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source,
     coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
     pow((('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE,
       1::DOUBLE / coalesce(1::DOUBLE - len(regexp_extract_all(text, '{ODD}'))::DOUBLE / greatest(length(text), 1)::DOUBLE / 2::DOUBLE, 1::DOUBLE)) AS k
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY source),
 n AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
     row_number() OVER (ORDER BY source NULLS LAST) AS nth, source_size * 2.0::DOUBLE AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM n),
@@ -134,17 +134,22 @@ l AS (SELECT *,
     (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM r WINDOW b AS (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT (array_agg(level ORDER BY ratio, nth) FILTER (WHERE level <= ratio))[1] AS level FROM l),
-p AS (SELECT source, source_size, least(cap, coalesce(f.level * weight, cap)) AS target FROM l, f),
+p AS (SELECT source, source_size, n_docs, least(cap, coalesce(f.level * weight, cap)) AS target FROM l, f),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM p),
 c AS (
-  SELECT d.doc_id, d.source, d.size, d.k, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
+  SELECT d.doc_id, d.source, d.size, d.k, e.source_size, e.n_docs, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k DESC, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-g AS (SELECT *, budget - sum(CASE WHEN upto <= budget THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
-x AS (SELECT *, row_number() OVER (PARTITION BY source, upto > budget AND abs(size - gap) < gap ORDER BY abs(size - gap), k DESC, doc_id) AS nearest FROM g)
+g AS (SELECT source, budget - sum(CASE WHEN upto <= budget THEN size ELSE 0 END) AS gap FROM c GROUP BY source, budget),
+x AS (SELECT source, doc_id, size, row_number() OVER (PARTITION BY source ORDER BY k DESC, doc_id) AS r FROM c WHERE upto > budget AND size > 0 AND upto - size <= budget + 256.0::DOUBLE * source_size / n_docs),
+fill AS (
+  SELECT source, 0::BIGINT AS r, gap, NULL::BIGINT AS doc_id FROM g
+  UNION ALL
+  SELECT f.source, x.r, CASE WHEN x.size <= f.gap THEN f.gap - x.size ELSE f.gap END, CASE WHEN x.size <= f.gap THEN x.doc_id END
+  FROM fill f JOIN x ON x.source IS NOT DISTINCT FROM f.source AND x.r = f.r + 1)
 SELECT doc_id, size, source_size, target,
-  (size * (epochs + CASE WHEN upto <= budget OR (abs(size - gap) < gap AND nearest = 1) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM x
+  (size * (epochs + CASE WHEN upto <= budget OR doc_id IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
 """
 
 
