@@ -149,7 +149,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("row", "ord", "text").mapInArrow(emit, _ROWS)
 
 
-def split_contexts(rows: DataFrame, length: int) -> DataFrame:
+def split_contexts(rows: DataFrame, length: int, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """Intervals that go (GONE), and the earliest rows of anchors with several contexts (SEVERAL, or MANY)."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def split_contexts(rows: DataFrame, length: int) -> DataFrame:
                 return
             _, where, n = np.unique(key, return_inverse=True, return_counts=True)
             n = n[where]
-            for kind, mine in ((SEVERAL, (n > 1) & (n <= MOST_CONTEXTS)), (MANY, n > MOST_CONTEXTS)):
+            for kind, mine in ((SEVERAL, (n > 1) & (n <= most_contexts)), (MANY, n > most_contexts)):
                 if mine.any():
                     yield _record(kind, *(c[mine] for c in cols))
 
@@ -287,7 +287,7 @@ def later_strings(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(settle, "row long, lo long, hi long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes``.
 
     Texts count as UTF-8 bytes. A string starts earlier if its document has a
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: s
     empty result; other columns are ignored.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.col(text_col).alias("text"))
-    settled = materialize(split_contexts(anchor_rows(rows, length, gram), length), "substr-anchors")
+    settled = materialize(split_contexts(anchor_rows(rows, length, gram), length, most_contexts), "substr-anchors")
     leads = settled.filter(F.col("kind").isin(SEVERAL, MANY))
     later = materialize(later_strings(context_bytes(rows, leads, length), length), "substr-later")
     gone = settled.filter(F.col("kind") == GONE).select("row", "lo", "hi").unionByName(later)
