@@ -227,7 +227,7 @@ def wide_plan(n: int, similarity: float, recall: float = 0.97) -> WidePlan:
     hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
     spread = math.sqrt(p * (1 - p))
-    return WidePlan(bits, segments, p + 2.5 * spread / math.sqrt(bits * segments), math.ceil(64 * p + 4 * 8 * spread))
+    return WidePlan(bits, segments, p + 2.5 * spread / math.sqrt(bits * segments), math.ceil(64 * p + 2.5 * 8 * spread))
 
 
 def wide_bits(hashes: np.ndarray, words: int, chunk: int = 20_000) -> np.ndarray:
@@ -276,9 +276,13 @@ def wide_variants(prints: DataFrame, plan: WidePlan) -> DataFrame:
     return prints.select("fp", "wide").mapInArrow(expand, "key long, fp long")
 
 
+#: Groups up to this size get a chain besides the star, so that up to three members are paired in full.
+SMALL = 3
+
+
 def _star(keys: np.ndarray, fps: np.ndarray, plan: WidePlan) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of sorted (key, fp): in a group, each member with the first that has the other
-    deleted bit (any bit where the segment may be equal) and with the member before."""
+    deleted bit (any bit where the segment may be equal), and in groups of up to ``SMALL`` also with the member before."""
     group, bit = keys >> 1, keys & 1
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.concatenate([start, [len(keys)]]))
@@ -288,8 +292,9 @@ def _star(keys: np.ndarray, fps: np.ndarray, plan: WidePlan) -> tuple[np.ndarray
     zeros, some = np.repeat(size - ones, size) > 0, np.repeat(ones, size) > 0
     equal = (group >> plan.bits) % plan.bits == 0
     at = np.arange(len(keys))
-    a = [at[(bit == 1) & zeros], at[(bit == 0) & some], at[equal & (at > lead)], at[equal & (at > lead)]]
-    b = [lead[(bit == 1) & zeros], first_one[(bit == 0) & some], lead[equal & (at > lead)], at[equal & (at > lead)] - 1]
+    small = np.repeat(size <= SMALL, size)
+    a = [at[(bit == 1) & zeros], at[(bit == 0) & some & small], at[equal & (at > lead)], at[equal & (at > lead) & small]]
+    b = [lead[(bit == 1) & zeros], first_one[(bit == 0) & some & small], lead[equal & (at > lead)], at[equal & (at > lead) & small] - 1]
     i, j = np.concatenate(a), np.concatenate(b)
     x, y = fps[i], fps[j]
     near = (x != y) & (np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= plan.coarse)
@@ -301,7 +306,7 @@ def _star(keys: np.ndarray, fps: np.ndarray, plan: WidePlan) -> tuple[np.ndarray
 def wide_pairs(nodes: DataFrame, plan: WidePlan) -> DataFrame:
     """``a, b``: pairs of ``nodes`` (fp, wide) that share a variant and differ in at most ``plan.most`` of all bits.
 
-    A variant's group is linked as a star and a chain, which keeps the rows linear in its size; a pair has as many
+    A variant's group is linked as a star (small ones also as a chain), which keeps the rows linear in its size; a pair has as many
     chances as there are segments. Groups are runs of sorted (key, fp) rows, of which a task holds one at a time.
     """
 
