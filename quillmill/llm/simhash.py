@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
-from quillmill.llm.store import materialize
+from quillmill.llm.store import drop, materialize
 
 SEED = 42
 
@@ -200,142 +199,193 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, id_co
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-# Looser similarities than three bits of 64: wide fingerprints, whose number of segments follows from the asked recall.
+# Looser similarities than three bits of 64: sets of word shingles, found by their rarest members.
+#
+# In one order of all shingles, two sets with a Jaccard similarity of t or more share a member among the
+# first n - ceil(t n) + 1 of each (n its own size). The order puts shingles that are common in a sample last, so
+# groups stay small; any order gives the same result.
 
+#: Texts whose shingles are counted to learn which are common, and the most shingles that are so kept.
+SAMPLE, MOST_COMMON = 20_000, 200_000
+#: Buckets of a set's sketch.
+BUCKETS = 128
 
-@dataclass(frozen=True)
-class WidePlan:
-    bits: int  # of a segment
-    segments: int
-    most: float  # largest share of differing bits
-    coarse: int  # most differing bits of the first 64
 
-    @property
-    def words(self) -> int:
-        return -(-self.bits * self.segments // 64)
+def prefix_size(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def differing_share(similarity: float) -> float:
-    """Share of bits in which two fingerprints of sets with this Jaccard similarity and equal size differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall into each bucket; all at the most if one does not fit a byte.
 
+    The sum of the smaller counts of two sketches is never less than the sets' intersection.
+    """
+    counts = np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return (counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8).tobytes()
 
-def wide_plan(n: int, similarity: float, recall: float = 0.97) -> WidePlan:
-    """Segments of about log2(n) + 2 bits, as many as find a pair exactly at ``similarity`` with ``recall``."""
-    p = differing_share(similarity)
-    bits = min(40, max(20, math.ceil(math.log2(max(n, 2))) + 2))
-    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
-    spread = math.sqrt(p * (1 - p))
-    return WidePlan(bits, segments, p + 2.5 * spread / math.sqrt(bits * segments), math.ceil(64 * p + 2.5 * 8 * spread))
 
+def admissible(n: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sets may be similar by sizes and sketches (rows of counts): none that is similar is left out."""
+    ok = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+    at = np.flatnonzero(ok)
+    most = np.minimum(left[at], right[at]).sum(axis=1, dtype=np.int64)
+    ok[at] = most >= similarity / (1 + similarity) * (n[at] + m[at]) - 1e-6
+    return ok
 
-def wide_bits(hashes: np.ndarray, words: int, chunk: int = 20_000) -> np.ndarray:
-    """Majority bits over ``words`` independent 64-bit hashes of each shingle; repeats count once."""
-    hashes = np.unique(hashes)
-    counts = np.zeros((words, 64), dtype=np.int64)
-    for at in range(0, len(hashes), chunk):
-        part = hashes[at : at + chunk]
-        for w in range(words):
-            x = (part ^ np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
-            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-            x ^= x >> np.uint64(33)
-            counts[w] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").reshape(-1).view("<u8")
 
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, BUCKETS)
+
+
+def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles in three or more texts of a sample, and in how many. They only order the shingles."""
+    share = min(1.0, max(0.005, SAMPLE / max(1, docs.count())))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["key"])
 
-def wide_prints(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, plan: WidePlan) -> DataFrame:
-    """``row, doc_id, fp, wide``: fp is the first 64 bits, wide all of them."""
+    some = docs.filter(F.pmod(F.xxhash64(row_col), F.lit(10_000)) < round(10_000 * share)).select(F.col(text_col).alias("text"))
+    counted = some.mapInArrow(shingles, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    keys, n = (np.array([r[i] for r in found], dtype=np.int64) for i in (0, 1))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], n[order]
+
+
+def shingle_sets(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``row, doc_id, fp, n, sketch, prefix``: fp is a hash of the whole set of shingles, prefix its first members as bytes."""
+    from xxhash import xxh64_intdigest
+
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, row_col, text_col, words))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = sent.value
         for batch in batches:
-            found = [wide_bits(shingle_hashes(t.as_py(), words), plan.words) for t in batch.column(2)]
-            first = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["row", "doc_id", "fp", "wide"])
+            fps, sizes, sketches, prefixes = [], [], [], []
+            for t in batch.column(2):
+                x = np.unique(shingle_hashes(t.as_py(), words))
+                rank = np.zeros(len(x), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    rank = np.where(common[at] == x, counts[at], 0)
+                fps.append(xxh64_intdigest(x.tobytes(), SEED))
+                sizes.append(len(x))
+                sketches.append(sketch(x))
+                prefixes.append(x[np.argsort(rank, kind="stable")[: prefix_size(len(x), similarity)]].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())],
+                ["row", "doc_id", "fp", "n", "sketch", "prefix"],
+            )
 
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(prints, "row long, doc_id long, fp long, wide binary")
+    return rows.mapInArrow(prints, "row long, doc_id long, fp long, n long, sketch binary, prefix binary")
 
 
-def wide_variants(prints: DataFrame, plan: WidePlan) -> DataFrame:
-    """``key, fp``: a row per segment and deleted bit; the key's lowest bit is the one that was deleted."""
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """``key, fp``: each shingle of a prefix that is in the prefix of another node (fp, prefix), too."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(fps), -1)
-            bits = np.unpackbits(wide, axis=1, bitorder="little")
-            for s in range(plan.segments):
-                mine = bits[:, s * plan.bits : (s + 1) * plan.bits].astype(np.int64)
-                value = mine @ (1 << np.arange(plan.bits, dtype=np.int64))
-                for k in range(plan.bits):
-                    masked = value - (mine[:, k] << k)
-                    key = ((s * plan.bits + k) << (plan.bits + 1)) | (masked << 1) | mine[:, k]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps)], ["key", "fp"])
-
-    return prints.select("fp", "wide").mapInArrow(expand, "key long, fp long")
-
-
-#: Groups up to this size get a chain besides the star, so that up to three members are paired in full.
-SMALL = 3
-
-
-def _star(keys: np.ndarray, fps: np.ndarray, plan: WidePlan) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of sorted (key, fp): in a group, each member with the first that has the other
-    deleted bit (any bit where the segment may be equal), and in groups of up to ``SMALL`` also with the member before."""
-    group, bit = keys >> 1, keys & 1
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.concatenate([start, [len(keys)]]))
-    lead = np.repeat(start, size)
-    ones = np.add.reduceat(bit, start)
-    first_one = np.repeat(start + size - ones, size)  # the zeros sort before the ones
-    zeros, some = np.repeat(size - ones, size) > 0, np.repeat(ones, size) > 0
-    equal = (group >> plan.bits) % plan.bits == 0
-    at = np.arange(len(keys))
-    small = np.repeat(size <= SMALL, size)
-    a = [at[(bit == 1) & zeros], at[(bit == 0) & some & small], at[equal & (at > lead)], at[equal & (at > lead) & small]]
-    b = [lead[(bit == 1) & zeros], first_one[(bit == 0) & some & small], lead[equal & (at > lead)], at[equal & (at > lead) & small] - 1]
-    i, j = np.concatenate(a), np.concatenate(b)
-    x, y = fps[i], fps[j]
-    near = (x != y) & (np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= plan.coarse)
-    x, y = x[near], y[near]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def wide_pairs(nodes: DataFrame, plan: WidePlan) -> DataFrame:
-    """``a, b``: pairs of ``nodes`` (fp, wide) that share a variant and differ in at most ``plan.most`` of all bits.
-
-    A variant's group is linked as a star (small ones also as a chain), which keeps the rows linear in its size; a pair has as many
-    chances as there are segments. Groups are runs of sorted (key, fp) rows, of which a task holds one at a time.
-    """
+            prefixes = batch.column(1).to_pylist()
+            keys = np.frombuffer(b"".join(prefixes), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), [len(p) // 8 for p in prefixes]))], ["key", "fp"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row waits for the next batch; whether it equals the one before is known
+        key, fp, held = np.zeros(0, np.int64), np.zeros(0, np.int64), False
         for batch in batches:
-            k, f = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate((held_k, held_f)))
-            cut = int(np.searchsorted(k, (k[-1] >> 1) << 1)) if len(k) else 0
-            held_k, held_f = k[cut:], f[cut:]
-            if cut:
-                a, b = _star(k[:cut], f[:cut], plan)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        if len(held_k):
-            a, b = _star(held_k, held_f, plan)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = wide_variants(nodes, plan).repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "fp")
-    pairs = rows.mapInArrow(link, "a long, b long").distinct()
-    left = nodes.select(F.col("fp").alias("a"), F.col("wide").alias("wa"))
-    right = nodes.select(F.col("fp").alias("b"), F.col("wide").alias("wb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            out = np.concatenate([[held], same])
+            out[:-1] |= same
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out[:-1]]), pa.array(fp[:-1][out[:-1]])], ["key", "fp"])
+            key, fp, held = key[-1:], fp[-1:], bool(out[-1])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "fp"])
+
+    rows = nodes.select("fp", "prefix").mapInArrow(expand, "key long, fp long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, fp long")
+
+
+def lead_pairs(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: each node with the first and the last member of its shingles' groups that it shares most shingles with, if the bounds allow."""
+    ends = shared.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"))
+    rows = shared.join(ends, "key")
+    picks = []
+    for end in ("first", "last"):
+        counted = rows.filter(F.col("fp") != F.col(end)).groupBy("fp", end).agg(F.count("*").alias("n"))
+        picks.append(counted.groupBy("fp").agg(F.max_by(end, F.struct("n", end)).alias("lead")))
+    both = picks[0].unionByName(picks[1])
+    pairs = both.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
+    left, right = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wa, wb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            ok = np.bitwise_count(wa ^ wb).sum(axis=1) <= plan.most * 64 * plan.words
+            ok = admissible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *(_counts(batch.column(k).to_pylist()) for k in (4, 5)), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return joined.mapInArrow(verify, "a long, b long")
+    return joined.mapInArrow(admit, "a long, b long")
+
+
+def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
+    """``a, b``: all pairs of nodes (fp, n, sketch) that share a shingle of ``shared``, whose ``labels`` (node, root)
+    differ, and whose sizes and sketches allow the similarity. Both bounds are exact: no similar pair is above them.
+
+    Groups with more than ``block`` members are dealt to tasks as pairs of blocks.
+    """
+    rows = shared.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = materialize(rows, "near-labelled")
+    sized = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    rows = rows.join(sized.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root").join(nodes.select("fp", "n", "sketch"), "fp")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in _whole_groups(batches, ["key", "i", "j"]):
+            key, i, j, own, fp, root, n = (k[c] for c in ("key", "i", "j", "own", "fp", "root", "n"))
+            counts = _counts(k["sketch"].tolist())
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            at, d = np.arange(len(fp)), 0
+            while len(at):
+                d += 1
+                at = at[at + d < len(fp)]
+                at = at[(key[at] == key[at + d]) & (i[at] == i[at + d]) & (j[at] == j[at + d])]
+                x = at[(root[at] != root[at + d]) & ((i[at] == j[at]) | (own[at] != own[at + d]))]
+                y = x + d
+                near = admissible(n[x], n[y], counts[x], counts[y], similarity)
+                x, y = fp[x[near]], fp[y[near]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = rows.select("key", "i", "j", "own", "fp", "root", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(link, "a long, b long").distinct()
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted batches, cut so that runs of rows with equal keys stay together."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        cols = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
+        if not batch.num_rows:
+            continue
+        last = np.logical_and.reduce([cols[k] == cols[k][-1] for k in keys])
+        cut = int(np.argmax(last))
+        if held and not (cut == 0 and all(held[-1][k][-1] == cols[k][0] for k in keys)):
+            head = {k: v[:cut] for k, v in cols.items()}
+            yield {k: np.concatenate([h[k] for h in held] + [head[k]]) for k in cols}
+            held = []
+        elif not held and cut:
+            yield {k: v[:cut] for k, v in cols.items()}
+        held.append({k: v[cut:] for k, v in cols.items()})
+    if held:
+        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -355,33 +405,38 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: float = 0.8, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``row, doc_id, component, kept``; one row of each component is kept.
 
-    Candidates come from fingerprints of several hundred bits; documents link if
-    the Jaccard similarity of their sets of word shingles is ``similarity`` or
-    more. Each candidate is first compared with the smallest it is paired with; pairs that this
-    has joined already need no comparison. ``recall`` is the chance that a pair exactly
-    at the limit becomes a candidate; nearer pairs have more. ``row_col`` holds a unique
+    Documents link if the Jaccard similarity of their sets of word shingles is ``similarity`` or
+    more, whatever their lengths; the components are those of all such pairs. Each document is first compared with up to two
+    members of its shingles' groups; what this joins needs no more comparisons, and all other
+    pairs that share a shingle of their prefixes are looked at. ``row_col`` holds a unique
     long. The row with the smallest doc_id stays (nulls last, then the smallest row). Documents without words link with one another.
     An empty table gives an empty result.
     """
-    plan = wide_plan(docs.count(), similarity, recall)
-    prints = materialize(wide_prints(docs, row_col, id_col, text_col, words, plan), "wide-fp")
-    nodes = materialize(prints.groupBy("fp").agg(F.min_by("wide", "row").alias("wide"), F.min("row").alias("row")), "wide-nodes")
-    pairs = materialize(wide_pairs(nodes, plan), "wide-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp")
+    prints = materialize(shingle_sets(docs, row_col, id_col, text_col, words, similarity), "near-sets")
+    nodes = prints.groupBy("fp").agg(F.min_by(F.struct("n", "sketch", "prefix"), "row").alias("set"), F.min("row").alias("row"))
+    wide = materialize(nodes.select("fp", "set.*", "row"), "near-wide")
+    rows = materialize(prints.select("row", "doc_id", "fp"), "near-prints")
+    drop(prints)
+    shared = materialize(shared_shingles(wide), "near-shared")
+    nodes = materialize(wide.drop("prefix"), "near-nodes")
+    drop(wide)
     text = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
-    texts = materialize(text.join(involved, "row").select("fp", "text"), "wide-texts")
-    first = materialize(similar(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, words, similarity), "wide-first")
-    known = materialize(connected_components(first), "wide-known")
-    rest = pairs
-    for end in ("a", "b"):
-        rest = rest.join(known.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
-    rest = materialize(similar(rest.filter("ra <> rb"), texts, words, similarity), "wide-rest")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(pairs, f"near-{name}-pairs")
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp")
+        texts = materialize(text.join(involved, "row").select("fp", "text"), f"near-{name}-texts")
+        return materialize(similar(pairs, texts, words, similarity), f"near-{name}")
+
+    first = verified(lead_pairs(shared, nodes, similarity), "first")
+    known = materialize(connected_components(first), "near-known")
+    rest = verified(open_pairs(shared, nodes, known, similarity), "rest")
     roots = connected_components(first.unionByName(rest))
-    rows = prints.select("row", "doc_id", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rows = materialize(rows.select("row", "doc_id", F.coalesce("root", "fp").alias("component")), "wide-rows")
+    rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rows = materialize(rows.select("row", "doc_id", F.coalesce("root", "fp").alias("component")), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first_row = rows.groupBy("component").agg(F.min(order).alias("first"))
     return rows.join(first_row, "component").select("row", "doc_id", "component", (F.col("row") == F.col("first.row")).alias("kept"))

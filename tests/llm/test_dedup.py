@@ -136,6 +136,48 @@ def test_near_duplicates_by_five_word_shingles(spark):
     assert got[120][0] == got[121][0] and got[122][0] == got[123][0]
 
 
+def shingle_components(texts, words=5):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    return roots(range(len(texts)), pairs)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_copies_in_large_groups(spark, block, monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(4000)]
+    passages = [[rng.choice(words) for _ in range(30)] for _ in range(3)]
+    texts = []
+    for _ in range(60):  # passages that unrelated texts share, and pairs just at the limit
+        own = [rng.choice(words) for _ in range(60)]
+        base = [*rng.choice(passages), *own, *rng.choice(passages)]
+        near = list(base)
+        for k in (35, 60):
+            near[k] = "changed"
+        far = [*base[:30], *(rng.choice(words) for _ in range(60)), *base[-30:]]
+        texts += [" ".join(x) for x in (base, near, far)]
+    monkeypatch.setattr(simhash.open_pairs, "__defaults__", (block,))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("r", F.col("doc_id")).repartition(4)
+    got = {r["doc_id"]: (r["component"], r["kept"]) for r in simhash.near_duplicates(rows, "r").collect()}
+    want = shingle_components(texts)
+    assert {i for i in got if got[i][1]} == set(want.values())
+    assert len({c for c, _ in got.values()}) == len(set(want.values()))
+
+
+def test_open_pairs_are_all_pairs_of_a_group(spark):
+    """Members that an unrelated lead keeps apart meet one another."""
+    hashes = [np.arange(100, dtype=np.uint64) + np.uint64(k) for k in range(8)]
+    nodes = spark.createDataFrame([(k, 100, bytearray(simhash.sketch(h))) for k, h in enumerate(hashes)], "fp long, n long, sketch binary")
+    shared = spark.createDataFrame([(7, k) for k in range(8)], "key long, fp long")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    for block in (2048, 3):
+        got = {tuple(r) for r in simhash.open_pairs(shared, nodes, labels, 0.8, block).collect()}
+        assert got == {(a, b) for b in range(8) for a in range(b)} - {(1, 2)}
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(1)
     rows = []
