@@ -167,6 +167,20 @@ def test_near_copies_in_large_groups(spark, block, monkeypatch):
     assert len({c for c, _ in got.values()}) == len(set(want.values()))
 
 
+def test_short_near_copies(spark):
+    """Texts of 5 to 30 words at the limit and just below it."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(4000)]
+    texts = []
+    for n in range(5, 31):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(n)]
+            texts += [" ".join(base), " ".join(base[: n - max(1, (n - 4) // 5)]), " ".join(base[: n - max(1, (n - 4) // 5) - 1])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("r", F.col("doc_id"))
+    got = {r["doc_id"] for r in simhash.near_duplicates(rows, "r").collect() if r["kept"]}
+    assert got == set(shingle_components(texts).values())
+
+
 def test_open_pairs_are_all_pairs_of_a_group(spark):
     """Members that an unrelated lead keeps apart meet one another."""
     hashes = [np.arange(100, dtype=np.uint64) + np.uint64(k) for k in range(8)]
