@@ -22,8 +22,8 @@ from pyspark.sql import Window as W
 from quillmill.llm.store import materialize
 from quillmill.llm.text import count_words
 
-#: Documents of average size behind the prefix that may fill what it leaves open.
-FILL = 256
+#: Documents of a source that may be left to fill its gap one by one; more are filled by another prefix.
+FILL = 1024
 #: 13 hex digits of MD5 are 52 bits: exact in a double.
 _SPAN = float(2**52)
 
@@ -62,12 +62,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return ranked.select(*sizes.columns, target.alias("target"))
 
 
+def _sums(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, bucket, rank_key, doc_id, size) with ``upto``, the sum of the sizes in the order of keys."""
+    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("start"))
+    inside = W.partitionBy("source", "bucket").orderBy(F.col("rank_key").desc(), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("within", F.sum("size").over(inside))
+    rows = rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source and r.bucket = s.bucket")).select("r.*", "s.start")
+    return rows.withColumn("upto", F.col("start") + F.col("within")).drop("start", "within")
+
+
 def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", row_col: str | None = None, **targets) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken``, and ``row, times`` if ``row_col`` names a unique long.
 
     ``taken`` is size times the whole epochs, plus size once more if the
     document falls into the fractional selection: the prefix of the source's
-    keys whose sum is within the budget, and of the next documents in the order
+    keys whose sum is within the budget, and of all later documents in the order
     of keys those that still fit. ``quality`` is a positive weight (null or not positive: 1). Null text has size 0, rows
     with a null source form a source, ties of the key go by id, and an empty
     table gives an empty result. Other columns are ignored.
@@ -86,32 +97,38 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.sqrt("n_docs"))))
-    plan = plan.withColumn("reach", F.lit(float(FILL)) * F.col("source_size") / F.col("n_docs"))
     plan = materialize(plan, "mix-plan")
 
-    rows = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "source_size", "target", "epochs", "budget", "n_buckets", "reach")
+    rows = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "source_size", "target", "epochs", "budget", "n_buckets")
     # u**(1/w), largest first, is the order of -ln(u)/w
     rows = rows.withColumn("bucket", F.least(F.floor((1 - F.col("rank_key")) * F.col("n_buckets")), F.col("n_buckets") - 1))
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("start"))
-    inside = W.partitionBy("source", "bucket").orderBy(F.col("rank_key").desc(), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("within", F.sum("size").over(inside))
-    rows = rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source and r.bucket = s.bucket")).select("r.*", "s.start")
-    rows = materialize(rows.withColumn("chosen", F.col("start") + F.col("within") <= F.col("budget")), "mix-chosen")
+    rows = _sums(rows)
+    rows = materialize(rows.withColumn("chosen", F.col("upto") <= F.col("budget")), "mix-chosen")
 
-    # what the prefix leaves open is filled in key order from the next documents that fit; both lists are bounded by FILL
+    # What the prefix leaves open is filled in key order from the documents that still fit. A prefix of these takes what
+    # one by one would take up to the first that does not fit; the rest that fits the new gap goes the same way.
     gaps = rows.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    after = rows.filter("not chosen and size > 0").filter(F.col("start") + F.col("within") - F.col("size") <= F.col("budget") + F.col("reach"))
-    lists = after.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("rank_key")).alias("k"), "doc_id", "row", "size"))).alias("next"))
+    left = rows.filter("not chosen and size > 0")
+    filled = []
+    while True:
+        left = left.select("row", "doc_id", "source", "size", "rank_key", "bucket").alias("r").join(gaps.alias("g"), F.expr("r.source <=> g.source and r.size <= g.gap"))
+        left = materialize(left.select("r.*", "g.gap"), "mix-left")
+        if (left.groupBy("source").count().agg(F.max("count")).first()[0] or 0) <= FILL:
+            break
+        left = materialize(_sums(left).withColumn("fits", F.col("upto") <= F.col("gap")), "mix-filled")
+        filled.append(left.filter("fits").select(F.col("row").alias("extra")))
+        gaps = left.groupBy("source").agg((F.first("gap") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
+        left = left.filter("not fits")
+    lists = left.groupBy("source").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct((-F.col("rank_key")).alias("k"), "doc_id", "row", "size"))).alias("next"))
     state = F.struct(F.col("gap"), F.array().cast("array<bigint>").alias("rows"))
 
     def fill(acc: Column, d: Column) -> Column:
         fits = d["size"] <= acc["gap"]
         return F.struct(F.when(fits, acc["gap"] - d["size"]).otherwise(acc["gap"]).alias("gap"), F.when(fits, F.array_append(acc["rows"], d["row"])).otherwise(acc["rows"]).alias("rows"))
 
-    both = lists.alias("l").join(gaps.alias("g"), F.expr("l.source <=> g.source")).select("l.next", "g.gap")
-    extra = both.select(F.explode(F.aggregate("next", state, fill, lambda acc: acc["rows"])).alias("extra"))
+    extra = lists.select(F.explode(F.aggregate("next", state, fill, lambda acc: acc["rows"])).alias("extra"))
+    for more in filled:
+        extra = extra.unionByName(more)
     rows = rows.join(extra, F.col("row") == F.col("extra"), "left")
     times = F.col("epochs") + F.when(F.col("chosen") | F.col("extra").isNotNull(), 1).otherwise(0)
     extra = ["row", times.cast("int").alias("times")] if row_col else []

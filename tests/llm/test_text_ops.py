@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import langid, licenses, packing, secrets
+from quillmill.llm import langid, licenses, mixing, packing, secrets
 from quillmill.llm.html_extract import extract, hash_of, main_text, parse, walk
 from quillmill.llm.mixing import mix, source_targets
 from quillmill.llm.queries import held_out, queries, vocabulary_path
@@ -187,6 +188,36 @@ def test_mix_reaches_targets(spark):
     assert all(abs(r["taken"] - r["target"]) <= 0.03 * r["target"] for r in got)
 
 
+def one_by_one(rows, budget, seed="mix"):
+    """Ids of rows (id, size) taken in the order of keys: the prefix within the budget, then all that still fit."""
+    def u(k):
+        return (int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    taken, total, open_ = set(), 0, True
+    for k, size in sorted(rows, key=lambda r: (-u(r[0]), r[0])):
+        if total + size <= budget and (open_ or size):
+            taken.add(k)
+            total += size
+        else:
+            open_ = False
+    return taken
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_all_later_documents_may_fill(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "FILL", most)
+    rng = random.Random(5)
+    flat = [(k, 10) for k in range(1000)]
+    # one document that straddles the budget and is longer than 256 of average size
+    long = next(k for k in range(1000, 2000) if 0.45 < int(hashlib.md5(f"mix:{k}".encode()).hexdigest()[:13], 16) / 2**52 < 0.55)
+    mixed = [(k, rng.choice([0, 1, 3, 10, 50, 400, 2000])) for k in range(3000)]
+    for rows in ([*flat, (long, 5000)], mixed):
+        docs = spark.createDataFrame([(k, "w " * n, "s") for k, n in rows], "doc_id long, text string, source string")
+        got = {r["doc_id"]: r["taken"] for r in mix(docs, share=0.5).collect()}
+        want = one_by_one(rows, 0.5 * sum(n for _, n in rows))
+        assert {k for k, n in rows if n and got[k]} == {k for k, n in rows if n and k in want}
+
+
 def test_heavier_documents_come_first(spark):
     frame = spark.range(4000).selectExpr("id as doc_id", "'a b c d' as text", "'s' as source", "case when id % 2 = 0 then 4.0D else 1.0D end as w")
     other = spark.range(4000, 8000).selectExpr("id as doc_id", "'a b c d' as text", "'t' as source", "1.0D as w")
