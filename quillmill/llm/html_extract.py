@@ -16,6 +16,7 @@ pages is spread over all tasks. Only the low branches of each host return to its
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -153,7 +154,7 @@ def blocks(node: Node, low: frozenset[int], in_main: bool = False) -> list[str]:
                 if block:
                     flush()
                 continue
-            if low and item.tag in CONTAINERS and hash_of(item.path) in low and not holds_main(item):
+            if low and item.tag in CONTAINERS and hash_of(item.path) in low and not holds_main(item) and branch_of(item) in low:
                 flush()
                 continue
         if item.tag in ("br", "hr"):
@@ -202,6 +203,11 @@ def hash_of(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "replace"), 0) - (1 << 63)
 
 
+def branch_of(node: Node, content: int | None = None) -> int:
+    """A branch by its path and text."""
+    return hash_of(f"{node.path}\n{hash_of(chr(10).join(blocks(node, frozenset()))) if content is None else content}")
+
+
 def extract(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """The page's main text; empty if it has none.
 
@@ -221,22 +227,26 @@ def extract(html: str | None, low: frozenset[int] = frozenset()) -> str:
 
 
 def branch_rows(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, path, style, content`` of each page's removable branches: hashes of path, child tags and text."""
+    """``host, path, nth, style, content, branch`` of each page's removable branches: hashes of path, child tags, text, and path with text.
+
+    nth counts a page's branches with one path, each of which has a place of its own in the tree.
+    """
 
     def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen: set[int] = set()  # a page counts once for a path
+                seen: Counter = Counter()
                 for node in walk(parse(html.as_py() or "")):
-                    if node.tag in CONTAINERS and not node.dropped(False) and (path := hash_of(node.path)) not in seen and not holds_main(node):
-                        seen.add(path)
+                    if node.tag in CONTAINERS and not node.dropped(False) and not holds_main(node):
+                        path, content = hash_of(node.path), hash_of("\n".join(blocks(node, frozenset())))
                         style = hash_of(" ".join(k.tag for k in node.kids if not isinstance(k, str)))
-                        rows.append((host, path, style, hash_of("\n".join(blocks(node, frozenset())))))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "path", "style", "content"])
+                        rows.append((host, path, seen[path], style, content, branch_of(node, content)))
+                        seen[path] += 1
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "path", "nth", "style", "content", "branch"])
 
-    return pages.select(host_of(url_col), F.col(html_col).alias("html")).mapInArrow(branches, "host string, path long, style long, content long")
+    return pages.select(host_of(url_col), F.col(html_col).alias("html")).mapInArrow(branches, "host string, path long, nth long, style long, content long, branch long")
 
 
 def host_of(url_col: str):
@@ -244,20 +254,22 @@ def host_of(url_col: str):
 
 
 def low_branches(rows: DataFrame, least_pages: int = 4, threshold: float = 0.3, gamma: float = 0.9) -> DataFrame:
-    """``host, low``: hashes of the paths whose importance is below ``threshold``.
+    """``host, low``: hashes of the paths that have a place whose importance is below ``threshold``, and of the branches that repeat there.
 
     Importance is (1 - gamma) times the entropy of the styles plus gamma times that of
     the contents, each to the base of the number of pages, so that it lies in 0 to 1.
     """
-    counted = rows.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"))
+    place = ["host", "path", "nth"]
+    counted = rows.groupBy(*place, "style", "content", "branch").agg(F.count("*").alias("n"))
 
     def entropy(key: str) -> DataFrame:
-        n = counted.groupBy("host", "path", key).agg(F.sum("n").alias("n"))
-        return n.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s")).select("host", "path", "m", ((F.ln("m") - F.col("s") / F.col("m")) / F.ln(F.greatest("m", F.lit(2)))).alias(key))
+        n = counted.groupBy(*place, key).agg(F.sum("n").alias("n"))
+        return n.groupBy(*place).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s")).select(*place, "m", ((F.ln("m") - F.col("s") / F.col("m")) / F.ln(F.greatest("m", F.lit(2)))).alias(key))
 
-    both = entropy("style").join(entropy("content").drop("m"), ["host", "path"])
-    low = both.filter((F.col("m") >= least_pages) & ((1 - gamma) * F.col("style") + gamma * F.col("content") < threshold))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))  # the paths of one host's templates
+    both = entropy("style").join(entropy("content").drop("m"), place)
+    low = both.filter((F.col("m") >= least_pages) & ((1 - gamma) * F.col("style") + gamma * F.col("content") < threshold)).select(*place)
+    repeated = counted.groupBy(*place, "branch").agg(F.sum("n").alias("n")).filter("n > 1").join(low, place)
+    return repeated.select("host", F.explode(F.array("path", "branch")).alias("hash")).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("low"))  # of one host's templates
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **importance) -> DataFrame:

@@ -128,6 +128,13 @@ def test_style_tree_removes_what_repeats(spark):
     assert main_text(table.limit(0)).count() == 0
 
 
+def test_unique_branches_beside_a_repeated_one_stay(spark):
+    pages = [(k, f"https://host.example/{k}", f"<article><div>By the staff</div><p>opening words of story {k} that go on for a while</p><div>story {k} about {PROSE[k]}</div></article>") for k in range(8)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(table).collect()}
+    assert got[3] == f"opening words of story 3 that go on for a while\nstory 3 about {PROSE[3]}"
+
+
 def test_branch_with_most_of_the_text_stays():
     html = "<body><div class='text'><p>all there is</p></div></body>"
     path = next(n.path for n in walk(parse(html)) if n.tag == "div")
