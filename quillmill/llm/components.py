@@ -2,18 +2,19 @@
 
 Links stay distributed from end to end. A node that is the centre of very many
 links costs no more than its links do: minima are map-side combined, and the
-join that hands them out may split the node's links over tasks.
+join that hands them out leaves the links of such nodes where they are.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.skew import join_counted
 from quillmill.llm.store import drop, materialize
 
-MOST_ROUNDS = 60
-
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -29,13 +30,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = materialize(links, "cc-links")
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = materialize(edges, "cc-0"), None
-    for k in range(1, MOST_ROUNDS + 1):
+    for k in count(1):  # the rounds grow with the logarithm of the longest chain
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+        large = join_counted(both.filter("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, f"cc-large-{k}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, low, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         found = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"cc-{k}")
+        drop(large)
         now = _digest(found)
         if k > 1:
             drop(edges)
@@ -43,8 +46,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components have not settled")
     alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     roots = alone.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     return roots.select("node", F.coalesce("root", "node").alias("root"))

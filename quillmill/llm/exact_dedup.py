@@ -8,8 +8,9 @@ in three steps, each over the survivors of the one before:
 3. SHA-256 of the whole normalised text.
 
 Every step is a map-side combined aggregate, so a group that holds a third of
-all rows moves one partial row per task. Keys join back through sort-merge
-joins whose document side adaptive execution may split.
+all rows moves one partial row per task. The survivors of a step are handed to the next
+as a bitmap of their hashed keys, whose size is fixed; a row that it lets through by chance is
+hashed in vain and then found unique. Groups return to their rows by a join that splits hot digests.
 """
 
 from __future__ import annotations
@@ -17,24 +18,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.skew import bitmap, join_counted, maybe_in
 from quillmill.llm.store import materialize
 from quillmill.llm.text import lower_ascii
 
-#: Most (length, prefix) groups that are broadcast; beyond it the digests of all rows are joined by shuffle.
-BROADCAST_GROUPS = 200_000
-
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest_all: bool, row_col: str | None = None) -> DataFrame:
+    """``row, doc_id, n_bytes, prefix``, and ``sha256`` if ``digest_all``, else ``norm``, the text to be hashed later."""
     norm = lower_ascii(F.col(text_col))
-    cols = [
+    return docs.select(
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.octet_length(norm).cast("long").alias("n_bytes"),
         F.xxhash64(lower_ascii(F.substring(F.col(text_col), 1, prefix_chars))).alias("prefix"),
-    ]
-    if digest_all:
-        cols.append(F.sha2(norm, 256).alias("sha256"))
-    return docs.select(*cols)
+        F.sha2(norm, 256).alias("sha256") if digest_all else norm.alias("norm"),
+    )
 
 
 def _repeated(df: DataFrame, *keys: str) -> DataFrame:
@@ -50,41 +48,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``digest_all``. Null text counts as empty; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, prefix_chars, digest_all, row_col), "exact-fp")
-    extra = ["row"] if row_col else []
-    lengths = _repeated(prints, "n_bytes")
-    survivors = prints.join(lengths, "n_bytes", "left_semi")
-    groups = _repeated(survivors, "n_bytes", "prefix")
+    prints = fingerprints(docs, id_col, text_col, prefix_chars, digest_all, row_col)
+    steps = materialize(prints if digest_all else prints.select("n_bytes", "prefix"), "exact-fp")
+    lengths = materialize(bitmap(_repeated(steps, "n_bytes"), ["n_bytes"]), "exact-lengths")
+    survivors = maybe_in(steps, lengths, ["n_bytes"], "survives").filter("survives")
+    pairs = ["n_bytes", "prefix"]
+    groups = materialize(bitmap(_repeated(survivors, *pairs), pairs), "exact-groups")
+    rows = maybe_in(steps if digest_all else prints, groups, pairs, "survives")
     if digest_all:
-        return _finish(prints, survivors.join(groups, ["n_bytes", "prefix"], "left_semi"), extra)
-    groups = materialize(groups, "exact-groups")
-    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:  # only surviving rows get their whole text hashed
-        norm = lower_ascii(F.col(text_col))
-        rows = docs.select(
-            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
-            F.col(id_col).cast("long").alias("doc_id"),
-            norm.alias("norm"),
-            F.octet_length(norm).cast("long").alias("n_bytes"),
-            F.xxhash64(lower_ascii(F.substring(F.col(text_col), 1, prefix_chars))).alias("prefix"),
-        )
-        rows = rows.join(F.broadcast(groups), ["n_bytes", "prefix"], "left_semi").select("row", "doc_id", "n_bytes", "prefix", F.sha2("norm", 256).alias("sha256"))
-    else:
-        rows = fingerprints(docs, id_col, text_col, prefix_chars, True, row_col).join(groups, ["n_bytes", "prefix"], "left_semi")
-    full = materialize(rows, "exact-full")
-    return _finish(_with_unique(prints, full), full, extra)
-
-
-def _with_unique(prints: DataFrame, full: DataFrame) -> DataFrame:
-    """The hashed rows, and those that no hashing was needed for."""
-    keys = full.select("n_bytes", "prefix").distinct()
-    rest = prints.join(keys, ["n_bytes", "prefix"], "left_anti").withColumn("sha256", F.lit(None).cast("string"))
-    return full.select("row", "doc_id", "sha256").unionByName(rest.select("row", "doc_id", "sha256"))
+        rows = rows.select("row", "doc_id", "sha256", "survives")
+    else:  # only of surviving rows is the whole text hashed
+        rows = materialize(rows.select("row", "doc_id", F.when(F.col("survives"), F.sha2("norm", 256)).alias("sha256"), "survives"), "exact-full")
+    return _finish(rows, ["row"] if row_col else [])
 
 
-def _finish(rows: DataFrame, full: DataFrame, extra: list[str]) -> DataFrame:
+def _finish(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """Rows (row, doc_id, sha256, survives) with what is known of their groups; those that do not survive are unique."""
+    full = rows.filter("survives").drop("survives")
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("neg_row"))).alias("best")
-    groups = full.groupBy("sha256").agg(F.count("*").alias("n"), best).filter("n > 1")
-    joined = rows.join(groups, "sha256", "left")
+    groups = materialize(full.groupBy("sha256").agg(F.count("*").alias("n"), best).filter("n > 1"), "exact-digests")
+    joined = join_counted(full, groups, ["sha256"])
+    alone = rows.filter("not survives").select("row", "doc_id", "sha256", *(F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name != "sha256"))
+    joined = joined.unionByName(alone)
     return joined.select(
         *extra,
         "doc_id",
