@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
+from quillmill.llm.skew import bitmap, maybe_in
 from quillmill.llm.store import drop, materialize
 
 SEED = 42
@@ -207,8 +208,8 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, id_co
 
 #: Texts whose shingles are counted to learn which are common, and the most shingles that are so kept.
 SAMPLE, MOST_COMMON = 20_000, 200_000
-#: Buckets of a set's sketch.
-BUCKETS = 128
+#: Bits of a set's sketch, and of one with many members: a multiple of the first.
+BITS, LONG_BITS, MANY_MEMBERS = 1024, 8192, 1000
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -216,25 +217,44 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """How many of the hashes fall into each bucket; all at the most if one does not fit a byte.
+    """A bit per bucket of the hashes: whether it holds an odd number of them.
 
-    The sum of the smaller counts of two sketches is never less than the sets' intersection.
+    Two sets differ by at least as many members as their sketches by bits. A long sketch
+    folds into a short one by exclusive or of its parts.
     """
-    counts = np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    return (counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8).tobytes()
+    bits = BITS if len(hashes) < MANY_MEMBERS else LONG_BITS
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def admissible(n: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of sets may be similar by sizes and sketches (rows of counts): none that is similar is left out."""
-    ok = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
-    at = np.flatnonzero(ok)
-    most = np.minimum(left[at], right[at]).sum(axis=1, dtype=np.int64)
-    ok[at] = most >= similarity / (1 + similarity) * (n[at] + m[at]) - 1e-6
-    return ok
+class Sketches:
+    """Sketches of either length, compared by rows."""
 
+    def __init__(self, rows: list[bytes]):
+        wide = np.array([len(r) > BITS // 8 for r in rows], dtype=bool)
+        self.at = np.where(wide, np.cumsum(wide) - 1, -1)
+        self.wide = np.frombuffer(b"".join(r for r in rows if len(r) > BITS // 8), dtype=np.uint64).reshape(-1, LONG_BITS // 64)
+        self.short = np.empty((len(rows), BITS // 64), dtype=np.uint64)
+        self.short[~wide] = np.frombuffer(b"".join(r for r in rows if len(r) <= BITS // 8), dtype=np.uint64).reshape(-1, BITS // 64)
+        self.short[wide] = np.bitwise_xor.reduce(self.wide.reshape(-1, LONG_BITS // BITS, BITS // 64), axis=1)
 
-def _counts(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, BUCKETS)
+    def differing(self, x: np.ndarray, other: Sketches, y: np.ndarray) -> np.ndarray:
+        """In how many bits rows x differ from rows y of the other."""
+        n = np.bitwise_count(self.short[x] ^ other.short[y]).sum(axis=1, dtype=np.int64)
+        both = np.flatnonzero((self.at[x] >= 0) & (other.at[y] >= 0))
+        n[both] = np.bitwise_count(self.wide[self.at[x[both]]] ^ other.wide[other.at[y[both]]]).sum(axis=1, dtype=np.int64)
+        return n
+
+
+def admissible(n: np.ndarray, left: Sketches, x: np.ndarray, m: np.ndarray, right: Sketches, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sets (rows x, y of sizes and sketches) may be similar, none that is similar being left out, and a bound on their similarity."""
+    n, m = n[x], m[y]
+    at = np.flatnonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+    differ = np.maximum(left.differing(x[at], right, y[at]), np.abs(n[at] - m[at]))
+    both = n[at] + m[at]
+    near = differ <= (1 - similarity) / (1 + similarity) * both + 1e-6
+    at, differ, both = at[near], differ[near], both[near]
+    return at, (both - differ) / np.maximum(both + differ, 1)
 
 
 def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,16 +346,19 @@ def lead_pairs(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
 
     def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = admissible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *(_counts(batch.column(k).to_pylist()) for k in (4, 5)), similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            every = np.arange(batch.num_rows)
+            n, m, left, right = batch.column(2).to_numpy(), batch.column(3).to_numpy(), Sketches(batch.column(4).to_pylist()), Sketches(batch.column(5).to_pylist())
+            at, _ = admissible(n, left, every, m, right, every, similarity)
+            yield batch.select(["a", "b"]).take(pa.array(at))
 
     return joined.mapInArrow(admit, "a long, b long")
 
 
-def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
+def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float, block: int = 2048, *, nearest: bool = False) -> DataFrame:
     """``a, b``: all pairs of nodes (fp, n, sketch) that share a shingle of ``shared``, whose ``labels`` (node, root)
     differ, and whose sizes and sketches allow the similarity. Both bounds are exact: no similar pair is above them.
 
+    ``nearest``: of each node's pairs only the one with the highest bound, as a step on the way.
     Groups with more than ``block`` members are dealt to tasks as pairs of blocks.
     """
     rows = shared.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -349,23 +372,34 @@ def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, similarit
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in _whole_groups(batches, ["key", "i", "j"]):
             key, i, j, own, fp, root, n = (k[c] for c in ("key", "i", "j", "own", "fp", "root", "n"))
-            counts = _counts(k["sketch"].tolist())
-            found = [np.zeros((0, 2), dtype=np.int64)]
+            sketches = Sketches(k["sketch"].tolist())
+            found, bounds = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
             at, d = np.arange(len(fp)), 0
             while len(at):
                 d += 1
                 at = at[at + d < len(fp)]
                 at = at[(key[at] == key[at + d]) & (i[at] == i[at + d]) & (j[at] == j[at + d])]
                 x = at[(root[at] != root[at + d]) & ((i[at] == j[at]) | (own[at] != own[at + d]))]
-                y = x + d
-                near = admissible(n[x], n[y], counts[x], counts[y], similarity)
-                x, y = fp[x[near]], fp[y[near]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                near, bound = admissible(n, sketches, x, n, sketches, x + d, similarity)
+                found.append(np.stack([fp[x[near]], fp[x[near] + d]], axis=1))
+                bounds.append(bound)
+            pairs, bound = np.concatenate(found), np.concatenate(bounds)
+            if nearest:
+                pairs, bound = np.concatenate([pairs, pairs[:, ::-1]]), np.concatenate([bound, bound])
+                order = np.lexsort((pairs[:, 1], -bound, pairs[:, 0]))
+                pairs, bound = pairs[order], bound[order]
+                first = np.flatnonzero(np.diff(pairs[:, 0], prepend=pairs[:1, 0] - 1)) if len(pairs) else np.zeros(0, np.int64)
+                pairs, bound = pairs[first], bound[first]
+            else:
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                bound = np.zeros(len(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(bound)], ["a", "b", "bound"])
 
     dealt = rows.select("key", "i", "j", "own", "fp", "root", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(link, "a long, b long").distinct()
+    found = dealt.mapInArrow(link, "a long, b long, bound double")
+    if nearest:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("bound", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -410,9 +444,9 @@ def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: f
 
     Documents link if the Jaccard similarity of their sets of word shingles is ``similarity`` or
     more, whatever their lengths; the components are those of all such pairs. Each document is first compared with up to two
-    members of its shingles' groups; what this joins needs no more comparisons, and all other
+    members of its shingles' groups, then with the one that may be most similar; what this joins needs no more comparisons, and all other
     pairs that share a shingle of their prefixes are looked at. ``row_col`` holds a unique
-    long. The row with the smallest doc_id stays (nulls last, then the smallest row). Documents without words link with one another.
+    long that every scan reads alike. The row with the smallest doc_id stays (nulls last, then the smallest row). Documents without words link with one another.
     An empty table gives an empty result.
     """
     prints = materialize(shingle_sets(docs, row_col, id_col, text_col, words, similarity), "near-sets")
@@ -427,14 +461,17 @@ def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: f
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs, f"near-{name}-pairs")
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp")
-        texts = materialize(text.join(involved, "row").select("fp", "text"), f"near-{name}-texts")
+        involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp"), f"near-{name}-nodes")
+        some = maybe_in(text, bitmap(involved, ["row"]), ["row"], "asked").filter("asked")  # other texts need not be shuffled
+        texts = materialize(some.join(involved, "row").select("fp", "text"), f"near-{name}-texts")
         return materialize(similar(pairs, texts, words, similarity), f"near-{name}")
 
     first = verified(lead_pairs(shared, nodes, similarity), "first")
     known = materialize(connected_components(first), "near-known")
+    second = first.unionByName(verified(open_pairs(shared, nodes, known, similarity, nearest=True), "second"))
+    known = materialize(connected_components(second), "near-known")
     rest = verified(open_pairs(shared, nodes, known, similarity), "rest")
-    roots = connected_components(first.unionByName(rest))
+    roots = connected_components(second.unionByName(rest))
     rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rows = materialize(rows.select("row", "doc_id", F.coalesce("root", "fp").alias("component")), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
