@@ -1,10 +1,11 @@
 """Operator 8: licence scans by sparse TF-IDF cosine and directory inheritance.
 
 Every statement of a text (a line, cut at sentence ends) and every run of
-``WINDOW`` statements that begins at a licence cue is compared with licence templates, short notices and
-opening passages alike, by the cosine of sparse TF-IDF vectors. Document frequencies
+``WINDOW`` statements that begins at a licence cue is compared with the headers of ``TEMPLATES``, short notices and
+opening passages alike, by the cosine of sparse TF-IDF vectors, and every whole text that holds a cue
+with the whole licences in ``licence_texts``. Document frequencies
 come from all texts, but only of the templates' words, so they stay small. A file
-that is mostly licence text is a licence file, and files without a licence of
+that is near a whole licence, or is mostly notices, is a licence file, and files without a licence of
 their own inherit that of the licence file in their nearest ancestor directory, found by joining
 each path's ancestors to the directories of licence files.
 """
@@ -15,11 +16,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.skew import join_counted
 from quillmill.llm.store import materialize
 
 # Licence names (SPDX) and their customary notices and opening passages.
@@ -59,8 +63,19 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, t in TEMPLATES for w in words(t)})
+@lru_cache
+def whole_licenses() -> tuple[tuple[str, str], ...]:
+    """Identifier and whole text of each licence. The Affero licence is the general one under its own name, but for a section."""
+    found = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*-*.txt"))}
+    found |= {name: (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text(encoding="utf-8") for name in ("ISC", "MIT")}
+    found["BSD-2-Clause"] = re.sub(r"3\. Neither.*?permission\.\n\n", "", found["BSD-3-Clause"], flags=re.S)
+    found["AGPL-3.0"] = re.sub(r"GNU( +)(General|GENERAL)", r"GNU\1Affero General", found["GPL-3.0"])
+    return tuple(sorted(found.items()))
+
+
+@lru_cache
+def vocabulary() -> tuple[str, ...]:
+    return tuple(sorted({w for _, t in TEMPLATES + whole_licenses() for w in words(t)}))
 
 
 class Matcher:
@@ -70,26 +85,41 @@ class Matcher:
         rarest = math.log((1 + documents) / 1) + 1
         self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1 for w in vocabulary()}
         self.rarest = rarest
-        self.index: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, text) in enumerate(TEMPLATES):
+        self.headers, self.wholes = self._index(TEMPLATES), self._index(whole_licenses())
+
+    def _index(self, templates: tuple[tuple[str, str], ...]) -> tuple[list[str], dict[str, list[tuple[int, float]]]]:
+        index: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, text) in enumerate(templates):
             for w, x in self.vector(words(text)).items():
-                self.index.setdefault(w, []).append((k, x))
+                index.setdefault(w, []).append((k, x))
+        return [name for name, _ in templates], index
 
     def vector(self, tokens: list[str]) -> dict[str, float]:
         v = {w: (1 + math.log(n)) * self.idf.get(w, self.rarest) for w, n in Counter(tokens).items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {w: x / norm for w, x in v.items()}
 
-    def best(self, text: str) -> tuple[float, str]:
-        """(cosine, licence) of the nearest template; ties go to the first."""
+    def best(self, text: str, whole: bool = False) -> tuple[float, str]:
+        """(cosine, licence) of the nearest header, or whole licence; ties go to the first."""
+        names, index = self.wholes if whole else self.headers
         scores: dict[int, float] = {}
         for w, x in self.vector(words(text)).items():
-            for k, y in self.index.get(w, ()):
+            for k, y in index.get(w, ()):
                 scores[k] = scores.get(k, 0.0) + x * y
         if not scores:
             return 0.0, ""
         k = min(scores, key=lambda k: (-round(scores[k], 9), k))
-        return scores[k], TEMPLATES[k][0]
+        return scores[k], names[k]
+
+    def scan_file(self, text: str | None, least: float, whole_least: float, file_share: float) -> tuple[str | None, float, list[tuple[int, int, str, float]], bool]:
+        """(licence, cosine, spans, whether it is a licence file) of a whole text; a whole licence is one span."""
+        text = text or ""
+        if CUE.search(text):
+            score, name = self.best(text, whole=True)
+            if score >= whole_least:
+                return name, score, [(0, len(text), name, score)], True
+        name, score, spans, covered = self.scan(text, least)
+        return name, score, spans, covered >= file_share
 
     def scan(self, text: str | None, least: float) -> tuple[str | None, float, list[tuple[int, int, str, float]], float]:
         """(licence, cosine, spans (start, end, licence, cosine), covered share) of a whole text."""
@@ -143,11 +173,11 @@ def word_frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[str
     return counts, counts.pop("", 0)
 
 
-def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, file_share: float = 0.5) -> DataFrame:
+def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, file_share: float = 0.5, whole_least: float = 0.85) -> DataFrame:
     """One row per input row: ``doc_id, path, license, cosine, origin, n_spans, spans, license_path``.
 
     origin is ``own``, ``inherited`` or ``none``. spans are ``start:end:licence``
-    in code points. Of several licence files in one directory the best match,
+    in code points. A text whose cosine to a whole licence is ``whole_least`` or more is that licence's file. Of several licence files in one directory the best match,
     then the smallest path, speaks for it. Null text counts as empty, a null path has no ancestors, an
     empty table gives an empty result; other columns are ignored.
     """
@@ -158,8 +188,8 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
         for batch in batches:
             rows = []
             for t in batch.column(2):
-                name, score, spans, covered = sent.value.scan(t.as_py(), least)
-                rows.append((name, score, len(spans), ",".join(f"{a}:{b}:{n}" for a, b, n, _ in spans), covered >= file_share))
+                name, score, spans, is_file = sent.value.scan_file(t.as_py(), least, whole_least, file_share)
+                rows.append((name, score, len(spans), ",".join(f"{a}:{b}:{n}" for a, b, n, _ in spans), is_file))
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "path", "own", "score", "n_spans", "spans", "is_file"])
@@ -168,15 +198,18 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
     rows = materialize(rows.mapInArrow(scan, "doc_id long, path string, own string, score double, n_spans long, spans string, is_file boolean"), "license-scan")
 
     parent = F.regexp_replace("path", r"/?[^/]*$", "")
-    best = F.max(F.struct("score", "own")).alias("top")
-    notices = rows.filter("is_file and own is not null and path is not null").groupBy(parent.alias("dir")).agg(best, F.min("path").alias("license_path"))
-    notices = notices.select("dir", F.col("top.own").alias("inherited"), F.col("top.score").alias("inherited_score"), "license_path")
+    best = F.min(F.struct((-F.col("score")).alias("worse"), "path", "own")).alias("top")
+    notices = rows.filter("is_file and own is not null and path is not null").groupBy(parent.alias("dir")).agg(best)
+    notices = notices.select("dir", F.col("top.own").alias("inherited"), (-F.col("top.worse")).alias("inherited_score"), F.col("top.path").alias("license_path"))
     # ancestors of each directory, not of each file: a directory is looked up once
-    dirs = rows.filter("own is null and path is not null").select(parent.alias("home")).distinct()
+    heirs = rows.filter("own is null and path is not null").withColumn("home", parent)
+    dirs = heirs.groupBy("home").agg(F.count("*").alias("n"))
     parts = F.split("home", "/")
-    ancestors = dirs.select("home", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir")).distinct()
-    nearest = ancestors.join(notices, "dir").groupBy("home").agg(F.max_by(F.struct("inherited", "inherited_score", "license_path"), F.length("dir")).alias("from"))
-    out = rows.withColumn("home", F.when(F.col("own").isNull(), parent)).join(nearest, "home", "left")
+    ancestors = dirs.select("home", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir")).distinct()
+    nearest = ancestors.join(notices, "dir").groupBy("home").agg(F.max("n").alias("n"), F.max_by(F.struct("inherited", "inherited_score", "license_path"), F.length("dir")).alias("from"))
+    nearest = materialize(nearest, "license-nearest")
+    out = join_counted(heirs, nearest, ["home"])  # a folder may hold a third of all files
+    out = out.unionByName(rows.filter("own is not null or path is null").withColumn("home", F.lit(None).cast("string")), allowMissingColumns=True)
     return out.select(
         "doc_id",
         "path",
