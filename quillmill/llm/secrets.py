@@ -8,11 +8,13 @@ uses; then
 * the runs test of symbols above and below the alphabet's middle, and
 * lag-1 serial correlation of the symbols
 
-ask whether it looks random (combined by Bonferroni). How sure one can be that
-it was *not* written by hand is given by a likelihood ratio against a model of written tokens,
+ask whether it looks random. Their p-values are combined by Bonferroni and go
+through Benjamini-Hochberg over all tokens of a length class, since the tests grow sharper with the length:
+tokens that it rejects are not random. How sure one can be that
+one of the others was *not* written by hand is given by a likelihood ratio against a model of written tokens,
 in which characters tend to stay in one class; its inverse bounds that p-value and shrinks with the length.
-Benjamini-Hochberg over all tokens of a length class controls the share of
-false discoveries. Its threshold needs only a histogram of p-values per
+A second Benjamini-Hochberg step over all tokens of a length class controls the share of
+false discoveries. Both thresholds need only histograms of p-values per
 length class, whose size is fixed.
 """
 
@@ -54,8 +56,8 @@ _SETS = [frozenset(a) for a in ALPHABETS]
 LENGTHS = (20, 24, 32, 40, 64, 128)
 #: In the model of written tokens: the chance that a character stays in the class of the one before.
 STAY = 0.9
-#: Bins of the p-value histogram: floor(-ln p), at most this.
-BINS = 300
+#: Bins of the p-value histograms: floor(-ln p), or of the battery floor(-FINE ln p), at most this.
+BINS, FINE = 300, 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -112,43 +114,44 @@ def written_bound(token: str, alphabet: str) -> float:
     return -len(token) * math.log(len(alphabet)) - written
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, length class, bin of the bound, p_random) of each testable token."""
+def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, length class, bin of the bound, bin of the battery) of each testable token."""
     out = []
     for m in TOKEN.finditer(text):
         token = m[0].rstrip("=")
         if alphabet := encoding(token):
             group = sum(len(token) >= n for n in LENGTHS) - 1
-            out.append((m.start(), m.end(), group, int(min(max(written_bound(token, alphabet), 0), BINS)), p_random(token, alphabet)))
+            battery = -FINE * math.log(max(p_random(token, alphabet), 1e-300))
+            out.append((m.start(), m.end(), group, int(min(max(written_bound(token, alphabet), 0), BINS)), int(min(max(battery, 0), BINS))))
     return out
 
 
-def bh_bins(histogram: dict[int, int], rate: float) -> int:
+def bh_bins(histogram: dict[int, int], rate: float, fine: int = 1) -> int:
     """The least bin whose tokens Benjamini-Hochberg accepts at ``rate``; BINS + 1 if none.
 
-    A bin b holds p-values of at most exp(-b), which is taken for all of them.
+    A bin b holds p-values of at most exp(-b / fine), which is taken for all of them.
     """
     total, found, least = sum(histogram.values()), 0, BINS + 1
     for b in sorted(histogram, reverse=True):
         found += histogram[b]
-        if math.exp(-b) <= rate * found / total:
+        if math.exp(-b / fine) <= rate * found / total:
             least = b
     return least
 
 
-_SCAN = "doc_id long, base array<struct<start:long,kind:int,stop:long>>, tested array<struct<start:long,stop:long,grp:int,bin:int,p:double>>"
+_SCAN = "doc_id long, base array<struct<start:long,kind:int,stop:long>>, tested array<struct<start:long,stop:long,grp:int,bin:int,fit:int>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_t = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))
-        test_t = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("grp", pa.int32()), ("bin", pa.int32()), ("p", pa.float64())]))
+        test_t = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("grp", pa.int32()), ("bin", pa.int32()), ("fit", pa.int32())]))
         for batch in batches:
             base, tested = [], []
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base.append([dict(zip(("start", "kind", "stop"), x)) for x in base_spans(text)])
-                tested.append([dict(zip(("start", "stop", "grp", "bin", "p"), x)) for x in candidates(text)])
+                tested.append([dict(zip(("start", "stop", "grp", "bin", "fit"), x)) for x in candidates(text)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, base_t), pa.array(tested, test_t)], ["doc_id", "base", "tested"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, _SCAN)
@@ -158,26 +161,28 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def find_secrets(docs: DataFrame, rate: float = 0.01, least_random: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, rate: float = 0.01, random_rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans``.
 
-    Spans count code points, their ends are exclusive. A token that lies in a
+    ``random_rate`` is the false-discovery rate of the battery, whose discoveries are tokens that are not random, and
+    ``rate`` that of the tokens added as random. Spans count code points, their ends are exclusive. A token that lies in a
     base span is not added again. Null text counts as empty and has no spans;
     an empty table gives an empty result; other columns are ignored.
     """
     found = materialize(scan(docs, id_col, text_col), "secrets-scan")
-    counts = found.select(F.explode("tested").alias("t")).groupBy("t.grp", "t.bin").agg(F.count("*").alias("n")).collect()  # length classes x bins at most
-    histograms: dict[int, dict[int, int]] = {}
-    for r in counts:
-        histograms.setdefault(r["grp"], {})[r["bin"]] = r["n"]
-    least = {group: bh_bins(h, rate) for group, h in histograms.items()}
+    tested = found.select(F.explode("tested").alias("t")).select("t.grp", F.explode(F.array(F.struct(F.lit("bin").alias("of"), "t.bin"), F.struct(F.lit("fit").alias("of"), F.col("t.fit").alias("bin")))).alias("b"))
+    histograms: dict[tuple[str, int], dict[int, int]] = {}
+    for r in tested.groupBy("b.of", "grp", "b.bin").agg(F.count("*").alias("n")).collect():  # two histograms per length class at most
+        histograms.setdefault((r["of"], r["grp"]), {})[r["bin"]] = r["n"]
+    least = {g: bh_bins(h, rate) for (of, g), h in histograms.items() if of == "bin"}
+    unfit = {g: bh_bins(h, random_rate, FINE) for (of, g), h in histograms.items() if of == "fit"}
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, base, tested in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 base = [(s["start"], s["kind"], s["stop"]) for s in base]
-                more = [(t["start"], 3, t["stop"]) for t in tested if t["bin"] >= least[t["grp"]] and t["p"] >= least_random]
+                more = [(t["start"], 3, t["stop"]) for t in tested if t["bin"] >= least[t["grp"]] and t["fit"] < unfit[t["grp"]]]
                 more = [x for x in more if not any(a <= x[0] and x[2] <= b for a, _, b in base)]
                 n = [sum(k == kind for _, k, _ in base + more) for kind in range(4)]
                 rows.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
