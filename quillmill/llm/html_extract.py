@@ -6,7 +6,8 @@ sequences over the host's pages, its content importance the entropy of its texts
 a branch that looks and reads the same on page after page has little of either and is
 removed from each page. What a page says about itself comes first: semantic
 elements, roles and class names for menus, headers, footers, adverts, forms and the like
-are dropped, and an ``article`` or ``main`` is kept whatever its host repeats.
+are dropped, and an ``article`` or ``main`` is kept whatever its host repeats. What holds an article is
+no menu and no form, whatever its name.
 
 The tree is never built in one place: each page emits a few hashes per branch, which are
 counted by (host, path) with map-side combining, so a host with a third of all
@@ -46,10 +47,18 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 MARKS = frozenset(
     "nav navbar navigation menu sidebar side aside footer masthead topbar ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies disqus discussion respond related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget copyright skip".split()
 )
+#: Words that may stand beside a mark in one name; with any other word a name marks nothing ("has-sidebar", "share-price").
+BESIDE = frozenset("site page global main wrapper wrap container box block area section list left right top bottom inner outer post posts links icons bar form unit slot".split())
 CONTAINERS = frozenset("div section ul ol dl table header figure center blockquote hgroup details".split())
 MAIN_ROLES = frozenset(("main", "article"))
 
 
+def marked(name: str) -> bool:
+    """Whether a class or id consists of marks, and of words that may stand beside them."""
+    parts = [w for w in re.split(r"[_-]+", name) if w]
+    return any(w in MARKS for w in parts) and all(w in MARKS or w in BESIDE for w in parts)
+
+
 class Node:
     __slots__ = ("tag", "words", "kids", "path", "role", "hidden")
 
@@ -59,8 +68,7 @@ class Node:
         if attrs.strip():
             found = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTR.findall(attrs)}
             self.role = found.get("role", "").lower()
-            names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-            self.words = tuple(w for w in re.split(r"[\s_-]+", names) if w)
+            self.words = tuple(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
             self.hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             label = ".".join((tag, *sorted(found.get("class", "").lower().split())))
         self.path = f"{up.path}/{label}" if up else label
@@ -75,7 +83,7 @@ class Node:
             return True
         if self.tag in ("html", "body") or self.main():
             return False
-        return any(w in MARKS for w in self.words) or (not in_main and "header" in self.words)
+        return any(marked(w) for w in self.words) or (not in_main and "header" in self.words)
 
 
 def parse(html: str) -> Node:
@@ -127,8 +135,8 @@ def parse(html: str) -> Node:
     return root
 
 
-def blocks(node: Node, low: frozenset[int], in_main: bool = False) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, without dropped elements and low branches."""
+def blocks(node: Node, low: frozenset[int], in_main: bool = False, menus: bool = False) -> list[str]:
+    """Texts of the blocks below ``node`` in page order, without dropped elements, low branches and, if asked, menus."""
     out: list[str] = []
     held: list[str] = []
 
@@ -150,13 +158,16 @@ def blocks(node: Node, low: frozenset[int], in_main: bool = False) -> list[str]:
             flush()
             continue
         if item is not node:
-            if item.dropped(inside):
+            if item.dropped(inside) and not (item.tag == "form" and wraps_page(item)):
                 if block:
                     flush()
                 continue
             if low and item.tag in CONTAINERS and hash_of(item.path) in low and not holds_main(item) and branch_of(item) in low:
                 flush()
                 continue
+            if menus and item.tag in CONTAINERS and menu(item):
+                flush()
+                continue
         if item.tag in ("br", "hr"):
             held.append(" ")
         if block:
@@ -180,21 +191,48 @@ def holds_main(node: Node) -> bool:
     return any(n.main() for n in walk(node))
 
 
+def wraps_page(node: Node) -> bool:
+    """Whether a form is wrapped around a page: it holds an article, a main, or a first-level heading."""
+    return any(n.main() or n.tag == "h1" for n in walk(node))
+
+
 def mains(root: Node) -> list[Node]:
-    """The outermost articles and mains that are not in a dropped element; a main that holds articles gives way to them."""
-    found: list[Node] = []
-    todo = [root]
+    """The outermost articles and mains that are not in a dropped element; a main that holds articles gives way to them.
+
+    If all are in dropped elements, those in none but elements that are dropped for their names, or forms, count.
+    """
+    for lenient in (False, True):
+        found: list[Node] = []
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node is not root and node.dropped(False) and not (node.tag == "form" and wraps_page(node)):
+                if not lenient or node.tag in DROPPED or node.tag == "header" or node.hidden:
+                    continue
+            if node.main():
+                inner = [n for n in walk(node) if n is not node and n.tag == "article"]
+                if node.tag == "article" or not inner:
+                    found.append(node)
+                    continue
+            todo.extend(k for k in reversed(node.kids) if not isinstance(k, str))
+        if found:
+            return found
+    return []
+
+
+def menu(node: Node) -> bool:
+    """Whether a branch is mostly links, three or more: such is a menu even on a host without other pages to compare."""
+    texts, links, n = 0, 0, 0
+    todo: list[tuple] = [(node, False)]
     while todo:
-        node = todo.pop()
-        if node is not root and node.dropped(False):
-            continue
-        if node.main():
-            inner = [n for n in walk(node) if n is not node and n.tag == "article"]
-            if node.tag == "article" or not inner:
-                found.append(node)
-                continue
-        todo.extend(k for k in reversed(node.kids) if not isinstance(k, str))
-    return found
+        item, linked = todo.pop()
+        if isinstance(item, str):
+            size = len("".join(item.split()))
+            texts, links = texts + size, links + size * linked
+        elif item.tag not in RAW:
+            n += item.tag == "a"
+            todo.extend((k, linked or item.tag == "a") for k in item.kids)
+    return n >= 3 and links > 0.8 * texts
 
 
 def hash_of(text: str) -> int:
@@ -211,19 +249,18 @@ def branch_of(node: Node, content: int | None = None) -> int:
 def extract(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """The page's main text; empty if it has none.
 
-    Low branches stay if they hold more than half of what the page would be left with otherwise.
+    Without an article or main, branches of links go, too. A page of which nothing but low
+    branches is left has no text of its own and keeps them.
     """
     root = parse(html or "")
-    starts = mains(root) or [root]
+    starts = mains(root)
 
     def text(low: frozenset[int]) -> str:
-        return "\n".join(b for s in starts for b in blocks(s, low, s is not root))
+        if starts:
+            return "\n".join(b for s in starts for b in blocks(s, low, True))
+        return "\n".join(blocks(root, low, menus=True) or blocks(root, low))
 
-    whole = text(frozenset())
-    if not low:
-        return whole
-    less = text(low)
-    return less if 2 * len(less) >= len(whole) else whole
+    return (text(low) if low else "") or text(frozenset())
 
 
 def branch_rows(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -253,7 +290,7 @@ def host_of(url_col: str):
     return F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host")
 
 
-def low_branches(rows: DataFrame, least_pages: int = 4, threshold: float = 0.3, gamma: float = 0.9) -> DataFrame:
+def low_branches(rows: DataFrame, least_pages: int = 2, threshold: float = 0.3, gamma: float = 0.9) -> DataFrame:
     """``host, low``: hashes of the paths that have a place whose importance is below ``threshold``, and of the branches that repeat there.
 
     Importance is (1 - gamma) times the entropy of the styles plus gamma times that of
