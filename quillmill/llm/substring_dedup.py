@@ -14,7 +14,8 @@ neighbouring strings, so the corpus is described by about one row in 35 bytes.
    of their kind go. Anchors with more than ``MOST_CONTEXTS`` contexts are dealt by
    string instead of by anchor.
 
-Strings are compared by two independent 64-bit hashes. Matches never cross documents.
+Strings are compared by two 64-bit hashes over independent random numbers of the bytes, or by 128 bits of BLAKE2;
+contexts by one such hash, of all their bytes, beside that of their anchor. Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ _BASE = 0x9E3779B97F4A7C15
 
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random odd number per byte, and the powers of a base and of its inverse modulo 2**64."""
-    letters = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """Two random odd numbers per byte, and the powers of a base and of its inverse modulo 2**64."""
+    rng = np.random.default_rng(5)
+    letters = np.stack([rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)])
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.full(_PART + 1, base, dtype=np.uint64)
@@ -55,11 +57,11 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """sums[i] is the hash of the first i bytes; (sums[j] - sums[i]) * inverse**i that of bytes i to j."""
+def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """sums[i] is the hash (of two) of the first i bytes; (sums[j] - sums[i]) * inverse**i that of bytes i to j."""
     letters, power, _ = _powers()
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(letters[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(letters[which][data] * power[: len(data)], out=sums[1:])
     return sums
 
 
@@ -234,7 +236,7 @@ def later_strings(contexts: DataFrame, length: int) -> DataFrame:
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _PART)))
             mine = sizes[at : at + n]
             flat = np.frombuffer(b"".join(data[at : at + n]), dtype=np.uint8)
-            sums = prefix_sums(flat)
+            sums, others = prefix_sums(flat), prefix_sums(flat, 1)
             begin = np.concatenate([[0], np.cumsum(mine)[:-1]])
             count = mine - length + 1
             who = np.repeat(np.arange(n), count)
@@ -243,13 +245,14 @@ def later_strings(contexts: DataFrame, length: int) -> DataFrame:
             h = (sums[s + length] - sums[s]) * inverse[s]
             mixed = _mix(part[at + who].view(np.uint64), 3)
             hashes.append(_mix(h, 1) + mixed)
+            checks.append((others[s + length] - others[s]) * inverse[s])
             which.append(at + who)
             starts.append(lo[at + who] + inside)
             at += n
-        h, who, start = np.concatenate(hashes), np.concatenate(which), np.concatenate(starts)
+        h, check, who, start = (np.concatenate(x) for x in (hashes, checks, which, starts))
         order = np.argsort(h, kind="stable")  # keeps the order of rows within equal strings
         again = np.zeros(len(h), dtype=bool)
-        again[order[1:]] = h[order][1:] == h[order][:-1]
+        again[order[1:]] = (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])
         # the contexts of a group are sorted by document and place, but neighbours may overlap: the earliest start counts
         r, a, b = _merged(row[who[again]], start[again], start[again] + length)
         return pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b)], ["row", "lo", "hi"])

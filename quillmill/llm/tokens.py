@@ -3,11 +3,13 @@
 The vocabulary's pre-tokenizer never joins characters across white space, so a
 text's ids are its words' ids in a row, and words repeat. Words of plain
 letters, digits and punctuation go straight to the BPE model; all others go
-through the whole tokenizer.
+through the whole tokenizer. Vocabulary files whose normalizer or split pattern is another
+one are used as they are, on whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import lru_cache
@@ -16,6 +18,8 @@ from functools import lru_cache
 MAX_WORDS, MAX_PIECES = 400_000, 300_000
 # The split pattern of word_bpe_49k.json, restricted to the characters of _PLAIN.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 
 
@@ -32,6 +36,9 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        parts = json.loads(self.whole.to_str())
+        first = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = (parts["normalizer"] or {}).get("normalizers") == _NORMALIZERS and first[0].get("pattern") == {"Regex": _SPLIT} and [p["type"] for p in first] == ["Split", "ByteLevel"]
         self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -60,6 +67,8 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids, each as a little-endian unsigned 32-bit number."""
+        if not self.by_word:
+            return packed(self.whole.encode(text, add_special_tokens=False).ids)
         known, miss = self.words.get, self._word
         return b"".join([known(raw) or miss(raw) for raw in text.encode().split()])  # parts at ASCII white space only
 
