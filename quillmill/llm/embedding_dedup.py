@@ -23,12 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
 from quillmill.llm.simhash import _groups
-from quillmill.llm.store import materialize
+from quillmill.llm.skew import join_counted
+from quillmill.llm.store import drop, materialize
 
 #: Width of a cell and half width of the window, in standard deviations of a projected unit vector; collisions asked for.
 CELL, WINDOW, COUNT = 1.0, 0.5, 2
@@ -68,9 +70,15 @@ def _directions(dim: int, plan: Plan, seed: int) -> tuple[np.ndarray, np.ndarray
     return rng.standard_normal((plan.tables, plan.cells + 1, dim)), rng.uniform(0, CELL, (plan.tables, plan.cells))
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the vectors of one length, and these as unit rows, in double precision."""
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == dim)
+        x = flat[starts[mine][:, None] + np.arange(dim)].astype(np.float64)
+        yield mine, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def cell_rows(reps: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
@@ -80,11 +88,9 @@ def cell_rows(reps: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
         drawn: dict[int, tuple] = {}
         mix = np.random.default_rng(seed).integers(1, 1 << 62, plan.cells, dtype=np.int64) | 1
         for batch in batches:
-            vectors, nodes, balls = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            dims = np.array([len(v) for v in vectors])
-            for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
-                x = unit([vectors[i] for i in mine])
+            nodes, balls = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for mine, x in by_length(batch.column(0)):
+                dim = x.shape[1]
                 a, b = drawn.setdefault(dim, _directions(dim, plan, seed))
                 for t in range(plan.tables):
                     y = x @ a[t].T
@@ -105,24 +111,9 @@ def _batch(a: list, b: list) -> pa.RecordBatch:
 
 
 def leader_pairs(rows: DataFrame) -> DataFrame:
-    """``a, b``: each vector with the smallest node of its cell."""
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, size = [], [], 0
-        for g in _groups(batches, ["cell"]):
-            if len(g["node"]) > 1:
-                low = g["node"].min()
-                rest = g["node"][g["node"] != low]
-                a.append(np.full(len(rest), low))
-                b.append(rest)
-                size += len(rest)
-            if size > 100_000:
-                yield _batch(a, b)
-                a, b, size = [], [], 0
-        if size:
-            yield _batch(a, b)
-
-    return _sorted_cells(rows).mapInArrow(lead, "a long, b long")
+    """``a, b``: each vector with the smallest node of its cell. rows: a written table."""
+    low = rows.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return join_counted(rows.select("cell", F.col("node").alias("b")), low, ["cell"]).filter("a < b").select("a", "b")
 
 
 def colliding_pairs(rows: DataFrame) -> DataFrame:
@@ -165,12 +156,8 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            va, vb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            dims = np.array([len(v) for v in va])
-            ok = np.zeros(len(va), dtype=bool)
-            for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
-                x, y = unit([va[i] for i in mine]), unit([vb[i] for i in mine])
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            for (mine, x), (_, y) in zip(by_length(batch.column(2)), by_length(batch.column(3))):
                 ok[mine] = (x * y).sum(axis=1) >= threshold
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -200,8 +187,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
 
     # leaders: vectors that no smaller vector leads; balls: what lies within half the angle of a leader
     half = math.cos(math.acos(threshold) / 2) + 1e-12
-    cells = cell_rows(reps.withColumn("ball", F.col("node")), plan)
+    cells = materialize(cell_rows(reps.withColumn("ball", F.col("node")), plan).select("cell", "node"), "emb-cells")
     led = materialize(verified(leader_pairs(cells).distinct(), reps, half), "emb-led")
+    drop(cells)
     followers = led.select(F.col("b").alias("a")).distinct()
     balls = led.join(followers, "a", "left_anti").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
     reps = reps.join(balls, "node", "left").withColumn("ball", F.coalesce("leader", "node")).drop("leader")
