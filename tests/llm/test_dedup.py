@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import string
 
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -210,6 +213,28 @@ def test_embedding_links(spark):
     assert got == want
 
 
+def test_recall_at_production_parameters(spark):
+    """Pairs just above the threshold, with the registered query's recall of 0.995."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((1500, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = 0.951 * x + math.sqrt(1 - 0.951**2) * y
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, near]))]
+    found = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert found.filter("n_links > 0").count() >= 0.98 * len(rows)
+
+
+def test_vectors_with_repeated_and_null_ids(spark):
+    v, w, z = [1.0, 0.0, 0.5], [1.0, 0.01, 0.5], [0.0, 1.0, -0.5]
+    rows = [(1, v, 1), (1, v, 1), (None, v, 1), (2, w, 1), (3, z, 1), (3, None, 1), (None, None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ball int").selectExpr("*", "'x' AS cell", "1 AS root", "2 AS k1")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_links(table, recall=0.99999).collect())
+    assert got == {(1, 3, 1, True): 2, (None, 3, 1, False): 1, (2, 3, 1, False): 1, (3, 0, 3, True): 2, (None, 0, None, True): 1}
+
+
 def slow_removal(texts, length):
     """texts in order; per text (removed bytes, spans, kept)."""
     seen, out = set(), []
@@ -241,6 +266,18 @@ def test_substrings(spark, most_contexts):
         assert [got[k] for k in range(len(texts))] == slow_removal(texts, length)
 
 
+def test_substrings_of_repeated_and_null_ids(spark):
+    rng = random.Random(10)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(7, f"{a} {b}"), (7, f"{b} {a}"), (None, a), (None, c), (3, c), (3, c), (1, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(table).collect())
+    size = {t: len(t) for t in (a, b, c)}
+    assert sum(got.values()) == len(rows) and got[(7, 0)] == 1 and got[(1, 0)] == 1  # nulls come last, rows of one id by their place
+    assert {n for i, n in got if i is None} == {size[a], size[c]} and got[(3, 0)] == got[(3, size[c])] == 1
+    assert next(n for i, n in got if i == 7 and n) >= size[a] + size[b]
+
+
 def test_long_texts_go_in_parts():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 2_500_000).astype(np.uint8)

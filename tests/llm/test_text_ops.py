@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import langid, licenses, mixing, packing, secrets
+from quillmill.llm import html_extract, langid, licenses, mixing, packing, secrets
 from quillmill.llm.html_extract import extract, hash_of, main_text, parse, walk
 from quillmill.llm.mixing import mix, source_targets
 from quillmill.llm.queries import held_out, queries, vocabulary_path
@@ -89,6 +90,41 @@ def test_secrets(spark, docs, no_docs):
     assert secrets.find_secrets(docs).count() == len(awkward()) and secrets.find_secrets(no_docs).count() == 0
 
 
+def slow_random_spans(texts, rate=0.01):
+    """Spans that both steps of Benjamini-Hochberg let through, over sorted lists of p-values."""
+    found: dict = {}
+    for k, text in enumerate(texts):
+        for a, b, group, bin_, fit in secrets.candidates(text):
+            found.setdefault(group, []).append((k, a, b, math.exp(-bin_), math.exp(-fit / secrets.FINE)))
+
+    def rejected(ps):
+        ranked = sorted(ps)
+        return max((p for i, p in enumerate(ranked, 1) if p <= rate * i / len(ranked)), default=-1.0)
+
+    out = set()
+    for rows in found.values():
+        written, fit = rejected([r[3] for r in rows]), rejected([r[4] for r in rows])
+        out |= {r[:3] for r in rows if r[3] <= written and r[4] > fit}
+    return out
+
+
+def test_random_spans_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(150):
+        parts = [" ".join(rng.choice(PROSE) for _ in range(5))]
+        for _ in range(rng.randrange(4)):
+            alphabet = rng.choice(secrets.ALPHABETS[2:])
+            parts.append(rng.choice(["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 90))), "".join(rng.choice(PROSE) for _ in range(6)) + "2024", "ab1" * rng.randrange(7, 30)]))
+        texts.append(" ".join(parts))
+    texts.append("x1y2z3" * 100_000)  # a very long token is one like any other
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in found for s in r["spans"].split(",") if s.startswith("random")}
+    base = {(k, a, b) for k, t in enumerate(texts) for a, _, b in secrets.base_spans(t)}
+    want = {x for x in slow_random_spans(texts) if not any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in base)}
+    assert got == want and 50 < len(got) < 250
+
+
 def test_random_tokens_pass_the_battery_and_false_ones_are_few():
     rng = random.Random(3)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(500)]
@@ -108,6 +144,17 @@ def test_random_tokens_pass_the_battery_and_false_ones_are_few():
         ("<ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table>", "one\ntwo\nc1\nc2"),
         ("<p>un<b>closed", "unclosed"),
         ("<main><article><p>x</p></article><article><p>y</p></article><p>z</p></main>", "x\ny"),
+        ("<div class='layout has-sidebar'><article><p>kept</p></article><div class='sidebar'>x</div></div>", "kept"),
+        ("<form id='aspnetForm'><div><article><h1>T</h1><p>kept</p></article><form>q</form></div></form>", "T\nkept"),
+        ("<body><form id='page'><div class='nav-bar'>menu</div><h1>T</h1><p>kept</p></form></body>", "T\nkept"),
+        ("<div class='promo-free content'><p>kept</p></div>", "kept"),
+        ("<div class='sidebar'><article><p>kept</p></article></div>", "kept"),
+        ("<div class='sidebar'><article>teaser</article></div><article><p>kept</p></article>", "kept"),
+        ("<aside><article>teaser</article></aside><p>kept</p>", "kept"),
+        ("<article><p>a</p><div class='share-price table'>12 up</div><div class='social-share'>tell</div><div class='comments-area'>hm</div></article>", "a\n12 up"),
+        ("<body><div><a href=1>one</a> <a href=2>two</a> | <a href=3>three</a></div><div><p>kept <a href=4>this</a> text</p></div></body>", "kept this text"),
+        ("<body><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></body>", "one\ntwo\nthree"),
+        ("<article><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></article>", "one\ntwo\nthree"),
     ],
 )
 def test_extract(html, text):
@@ -118,6 +165,50 @@ def test_deep_markup():
     assert extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_very_long_and_repeated_pages(spark):
+    long = " ".join(["word &amp; more"] * 200_000)
+    rows = [(1, "https://h.example/1", f"<nav>m</nav><article><p>{long}</p></article>")] * 2 + [(None, "https://h.example/2", "<p>x</p>")]
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["n_chars"] for r in got) == [1] + [len(long.replace("&amp;", "&"))] * 2
+
+
+def slow_low(pages, least=2, threshold=0.3, gamma=0.9):
+    """Per host the low (path, text) branches, by counting every place's styles and texts one by one."""
+    places: dict = {}
+    for host, html in pages:
+        seen: Counter = Counter()
+        for node in walk(parse(html)):
+            if node.tag in html_extract.CONTAINERS and not node.dropped(False) and not html_extract.holds_main(node):
+                style, content = tuple(k.tag for k in node.kids if not isinstance(k, str)), tuple(html_extract.blocks(node, frozenset()))
+                places.setdefault((host, node.path, seen[node.path]), []).append((style, content))
+                seen[node.path] += 1
+
+    def entropy(values):
+        m = len(values)
+        return -sum(n / m * math.log(n / m) for n in Counter(values).values()) / math.log(max(m, 2))
+
+    low = set()
+    for (host, path, _), values in places.items():
+        if len(values) >= least and (1 - gamma) * entropy([v[0] for v in values]) + gamma * entropy([v[1] for v in values]) < threshold:
+            low |= {(host, path, c) for c, n in Counter(v[1] for v in values).items() if n > 1}
+    return low
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_style_tree_equals_brute_force(spark, n):
+    rng = random.Random(n)
+    pages = []
+    for k in range(n):
+        parts = ["<div class='hello'>Welcome to all of you</div>", f"<div class='tip'>Tip {rng.randrange(1 + n // 8)} of the day</div>", f"<div><p>story {k} of {rng.random()}</p><ul><li>same item</ul></div>"]
+        pages.append(("h.example", "<body>" + "".join(parts if rng.random() < 0.9 else parts[1:]) + "</body>"))
+    table = spark.createDataFrame([(k, f"http://{h}/{k}", t) for k, (h, t) in enumerate(pages)], "page_id long, url string, html string")
+    got = {h for r in html_extract.low_branches(html_extract.branch_rows(table)).collect() for h in r["low"]}
+    want = slow_low(pages)
+    assert got == {hash_of(p) for _, p, _ in want} | {hash_of(f"{p}\n{hash_of(chr(10).join(c))}") for _, p, c in want}
+    text = {r["page_id"]: r["text"] for r in main_text(table).collect()}
+    assert all(("Welcome" in t) == (n == 1) and "story" in t for t in text.values())
+
+
 def test_style_tree_removes_what_repeats(spark):
     pages = [(k, f"https://host.example/{k}", f"<body><div class='top'>Welcome to our site</div><div class='text'><p>story {k} about {PROSE[k]} things</p><p>more of {k}</p></div></body>") for k in range(8)]
     pages += [(100, "https://other.example/a", "<body><div class='top'>Welcome to our site</div></body>"), (101, None, None), (102, "odd url", "<p>x</p>")]
@@ -151,6 +242,64 @@ def test_licenses(spark, docs, no_docs):
     assert licenses.scan_licenses(no_docs, F.col("source")).count() == 0
 
 
+def test_whole_licence_files(spark):
+    """Every whole licence, re-wrapped and with a holder, is a licence file, and speaks for its folder with its own path."""
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licenses.whole_licenses()):
+        rows.append((3 * k, f"{name}/COPYING", "Copyright 2020 A. Holder\n" + " ".join(text.split())))
+        rows.append((3 * k + 1, f"{name}/src/a.txt", "words of no licence"))
+        rows.append((3 * k + 2, f"{name}/b.txt", text[: len(text) // 50] + "\n" + "many other words " * 400))
+        want |= {3 * k: (name, "own", None), 3 * k + 1: (name, "inherited", f"{name}/COPYING")}
+    files = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(files, F.col("p")).collect()}
+    assert {k: (got[k]["license"], got[k]["origin"], got[k]["license_path"]) for k in want} == want
+    assert all(got[k]["cosine"] >= 0.85 for k in want)
+
+
+def test_best_licence_file_of_a_folder(spark):
+    """The path that is named holds the licence that is inherited, also where the smaller path holds another."""
+    text = dict(licenses.whole_licenses())
+    rows = [(1, "d/A.txt", "Released under the MIT License. " + "other words here " * 3), (2, "d/B.txt", text["BSD-3-Clause"]), (3, "d/x/c.txt", "none"), (4, "d/x/y/", None), (5, "e", "none")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
+    assert (got[3]["license"], got[3]["license_path"]) == (got[4]["license"], got[4]["license_path"]) == ("BSD-3-Clause", "d/B.txt")
+    assert got[5]["origin"] == "none"
+
+
+def slow_cosines(texts, templates):
+    """Cosines of dense TF-IDF vectors, word by word."""
+    bags = [Counter(licenses.words(t)) for t in texts]
+    known = {w for _, t in licenses.TEMPLATES + licenses.whole_licenses() for w in licenses.words(t)}
+    idf = lambda w: math.log((1 + len(texts)) / (1 + sum(w in b for b in bags) if w in known else 1)) + 1
+
+    def dense(bag, axis):
+        v = np.array([(1 + math.log(bag[w])) * idf(w) if bag[w] else 0.0 for w in axis])
+        return v / (np.linalg.norm(v) or 1)
+
+    out = []
+    for bag in bags:
+        row = []
+        for _, t in templates:
+            other = Counter(licenses.words(t))
+            axis = sorted(bag | other)
+            row.append(float(dense(bag, axis) @ dense(other, axis)))
+        out.append(row)
+    return out
+
+
+def test_licence_cosines_equal_brute_force(spark):
+    rng = random.Random(5)
+    pool = [w for _, t in licenses.TEMPLATES for w in licenses.words(t)] + ["river", "stone", "light"] * 30
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for _ in range(25)] + [t for _, t in licenses.TEMPLATES[:6]]
+    files = spark.createDataFrame([(t,) for t in texts], "text string")
+    matcher = licenses.Matcher(*licenses.word_frequencies(files))
+    for whole, templates in ((False, licenses.TEMPLATES), (True, licenses.whole_licenses()[:2])):
+        for text, row in zip(texts, slow_cosines(texts, templates)):
+            index = (matcher.wholes if whole else matcher.headers)[1]
+            for k, want in enumerate(row):
+                got = sum(x * dict(index.get(w, ())).get(k, 0.0) for w, x in matcher.vector(licenses.words(text)).items())
+                assert math.isclose(got, want, abs_tol=1e-9)
+
+
 def test_license_templates_find_themselves():
     matcher = licenses.Matcher({}, 10)
     for name, text in licenses.TEMPLATES:
@@ -275,3 +424,13 @@ def test_packing_plan_is_tight():
         assert Counter(x for items, k in plan for x in items * k) == Counter(lengths)
         assert all(sum(items) <= 4096 for items, _ in plan)
         assert sum(k for _, k in plan) <= -(-sum(lengths) // 4096) + 2
+
+
+def test_other_vocabularies_go_through_their_own_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Don't split THIS  like 1234 words\n\né ß 二三"
+    assert np.frombuffer(WordTokenizer(path).encode(text), dtype="<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert WordTokenizer(vocabulary_path()).by_word
