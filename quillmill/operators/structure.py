@@ -29,6 +29,18 @@ def with_reference_width(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("ref_width", F.col("page_x1") - F.col("page_x0"))
 
 
+def with_column_width(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (with ref_width and gutter, null if the page has none) and own_width: the width of the blocks on a block's side of the gutter."""
+    page = W.partitionBy(*PAGE)
+
+    def wide(side: Column) -> Column:
+        width = F.max(F.when(side, F.col("x1"))).over(page) - F.min(F.when(side, F.col("x0"))).over(page)
+        return F.when(width > 0, width).otherwise(F.col("ref_width"))
+
+    left, right = F.col("x1") < F.col("gutter"), F.col("x0") > F.col("gutter")
+    return blocks.withColumn("own_width", F.when(left, wide(left)).when(right, wide(right)).otherwise(F.col("ref_width")))
+
+
 def with_headings(blocks: DataFrame) -> DataFrame:
     """``blocks`` (with body_size) and level (null if it is no heading), signals and heading_confidence."""
     rows = blocks.withColumn("clean", T.collapse_ws(F.col("text")))
@@ -68,11 +80,30 @@ def is_quote(text: Column, x0: Column, x1: Column, page_x0: Column, page_x1: Col
     return plain & (ref_width > 0) & short & (x0 - page_x0 >= F.greatest(F.lit(18.0), ref_width * 0.06)) & (page_x1 - x1 >= ref_width * 0.03)
 
 
+def _joins(rows: DataFrame) -> DataFrame:
+    """``rows`` (goes, fragment, fits, before_width) and joins: whether a block goes on with the open paragraph.
+
+    The line before must fill 55 per cent of the width of the open paragraph's first block. Without a gutter this is one
+    width for the page; with one it is carried along the page's blocks.
+    """
+    order = W.partitionBy(*PAGE).orderBy("ord")
+    plain = rows.filter("gutter is null").withColumn("joins", F.expr("goes and (fragment or (fits and before_width >= own_width * 0.55))"))
+    so_far = F.collect_list(F.struct("goes", "fragment", "fits", "before_width", "own_width")).over(order)  # of one page
+
+    def step(acc: Column, b: Column) -> Column:
+        joins = b["goes"] & (b["fragment"] | (b["fits"] & (b["before_width"] >= acc["width"] * 0.55)))
+        return F.struct(F.when(joins, acc["width"]).otherwise(b["own_width"]).alias("width"), joins.alias("joins"))
+
+    start = F.struct(F.lit(0.0).alias("width"), F.lit(False).alias("joins"))
+    split = rows.filter("gutter is not null").withColumn("_so_far", so_far)
+    return plain.unionByName(split.withColumn("joins", F.aggregate("_so_far", start, step, lambda acc: acc["joins"])).drop("_so_far"))
+
+
 def paragraph_flow(blocks: DataFrame) -> DataFrame:
-    """One row per paragraph, heading or footnote of pages without a gutter.
+    """One row per paragraph, heading or footnote.
 
-    ``blocks``: ord, text, box, size, ref_width, page_x0, page_x1, level (of
-    headings) and marker (of footnotes). All that a block's fate depends on is in the block before it, so two windows do. Letterless
+    ``blocks``: ord, text, box, size, ref_width, own_width, gutter, page_x0, page_x1, level (of
+    headings) and marker (of footnotes). Letterless
     fragments join the open paragraph as they are and leave its box alone.
     """
     page = W.partitionBy(*PAGE)
@@ -82,11 +113,11 @@ def paragraph_flow(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_heading", F.col("level").isNotNull()).withColumn("solo", F.col("is_heading") | F.col("marker").isNotNull())
     same_column = ~((F.col("x0") > F.col("before_x1") + 20) | (F.col("before_x0") > F.col("x1") + 20))
     fits = same_column & (F.abs(F.col("size") - F.lag("size").over(order)) <= 1.0) & ~T.ends_terminal(F.lag("clean").over(order))
-    fits = fits & (F.greatest(F.lit(0.0), F.lag(F.col("x1") - F.col("x0")).over(order)) >= F.col("ref_width") * 0.55)
+    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("before_width", F.coalesce(F.greatest(F.lit(0.0), F.lag(F.col("x1") - F.col("x0")).over(order)), F.lit(0.0)))
     rows = rows.withColumn("fragment", T.arabic_letters(F.col("clean")) + T.latin_letters(F.col("clean")) == 0)
-    joins = ~F.col("solo") & ~F.coalesce(F.lag("solo").over(order), F.lit(True)) & (F.col("fragment") | fits)
-    rows = rows.withColumn("joins", joins)
-    glue = F.when(F.col("fragment") | T.starts_no_space(F.col("clean")) | F.lag("clean").over(order).rlike(f"[{HYPHENS}]$"), "").otherwise(" ")
+    rows = rows.withColumn("goes", ~F.col("solo") & ~F.coalesce(F.lag("solo").over(order), F.lit(True))).withColumn("before_clean", F.lag("clean").over(order))
+    rows = _joins(rows)
+    glue = F.when(F.col("fragment") | T.starts_no_space(F.col("clean")) | F.col("before_clean").rlike(f"[{HYPHENS}]$"), "").otherwise(" ")
     rows = rows.withColumn("piece", F.when(F.col("joins"), F.concat(glue, F.col("clean"))).otherwise(F.col("clean")))
     rows = rows.withColumn("para", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     whole = ~F.col("joins") | ~F.col("fragment")
@@ -107,6 +138,7 @@ def paragraph_flow(blocks: DataFrame) -> DataFrame:
         F.first("ref_width").alias("ref_width"),
         F.first("page_x0").alias("page_x0"),
         F.first("page_x1").alias("page_x1"),
+        F.first("gutter").alias("gutter"),
     )
     confidence = F.when(F.col("marker").isNotNull(), 0.7).when(F.col("n_merged") > 0, 0.75).otherwise(0.95)
     return out.withColumn("confidence", confidence)

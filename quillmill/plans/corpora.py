@@ -94,7 +94,7 @@ blocks AS (SELECT doc_id, page, block_no, text, x0, y0, ({_X1})::DOUBLE AS x1, (
 
 def with_corpora(sql: str) -> str:
     """Put the corpora before a SELECT, or before further WITH items that start with a comma."""
-    return f"WITH {CTE}\n{sql}"
+    return f"WITH RECURSIVE {CTE}\n{sql}"
 
 
 def images(page_blocks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from quillmill.functions import chars as C
 from quillmill.functions import text as T
+from quillmill.operators import furniture as U
 from quillmill.operators import geometry as G
 from quillmill.operators import structure as S
 from quillmill.plans import corpora as K
@@ -86,34 +87,43 @@ def image_caption_join(spark, sf_dir):
     return S.image_captions(K.images(K.blocks(spark, sf_dir)), filled(spark, sf_dir))
 
 
-# paragraphs: pages of documents without columns, after furniture is gone -----------------
+# paragraphs: all blocks but furniture, in reading order -----------------------------------
 
 
 def flow_blocks(spark, sf_dir):
-    """Blocks of one-column documents in reading order, with what paragraph building asks for."""
-    rows = K.blocks(spark, sf_dir).filter("doc_id % 4 <> 0 and block_no not in (0, 7)").filter(~T.is_blank(F.col("text")))
-    rows = S.with_headings(S.with_reference_width(S.with_body_size(rows)))
-    return rows.withColumn("marker", F.when(F.col("level").isNull(), S.footnote_marker(H))).withColumn("ord", F.col("block_no"))
+    """Blocks without furniture in reading order, by columns where a page has them, with what paragraph building asks for."""
+    content = U.without_furniture(K.blocks(spark, sf_dir), H)
+    rows = G.reading_order(content, G.find_gutters(content, WD)).drop("gutters", "rtl", "by_column", "confidence").join(G.find_gutter(content, WD), G.PAGE)
+    rows = S.with_column_width(S.with_headings(S.with_reference_width(S.with_body_size(rows))))
+    return rows.withColumn("marker", F.when(F.col("level").isNull(), S.footnote_marker(H)))
 
 
 def paragraphs(spark, sf_dir):
     return S.paragraph_flow(flow_blocks(spark, sf_dir))
 
 
-_FLOW_SOURCE = "flow_filled AS (SELECT * FROM filled WHERE doc_id % 4 <> 0 AND block_no NOT IN (0, 7))"
-_FLOW_BODY = BODY.replace(L.FILLED, f"{L.FILLED}, {_FLOW_SOURCE}").replace("FROM filled GROUP", "FROM flow_filled GROUP").replace("FROM filled f", "FROM flow_filled f")
+_CONTENT = "content AS (SELECT b.* FROM blocks b ANTI JOIN furniture USING (doc_id, page, block_no))"
+_ORDERED = f"{L.FURNITURE}, {_CONTENT}, {L.READING.replace(' FROM blocks', ' FROM content')}, flow_filled AS (SELECT f.*, r.ord AS ro, g.gutter FROM filled f JOIN reading r USING (doc_id, page, block_no) JOIN gutters g USING (doc_id, page))"
+_FLOW_BODY = BODY.replace(L.FILLED, _ORDERED).replace("FROM filled GROUP BY ALL),\ncumulated", "FROM flow_filled GROUP BY ALL),\ncumulated").replace("FROM filled f JOIN body", "FROM flow_filled f JOIN body")
 LETTERS = f"regexp_matches(clean, '[{C.AL}{C.LA}]')"
+_PAGE_OF = "OVER (PARTITION BY doc_id, page)"
 PARAGRAPHS = rf"""{_FLOW_BODY}, {HEADINGS}, {NOTES},
 widths AS (SELECT doc_id, page, max(x1) - min(x0) AS ref_width, min(x0) AS page_x0, max(x1) AS page_x1 FROM flow_filled GROUP BY ALL),
-flow AS (SELECT b.*, ref_width, page_x0, page_x1, h.level, CASE WHEN h.level IS NULL THEN n.marker END AS marker, h.level IS NOT NULL OR n.marker IS NOT NULL AS solo, h.level IS NOT NULL AS is_heading FROM bodied b JOIN widths USING (doc_id, page)
+flow AS (SELECT b.*, ref_width, page_x0, page_x1, h.level, CASE WHEN h.level IS NULL THEN n.marker END AS marker, h.level IS NOT NULL OR n.marker IS NOT NULL AS solo, h.level IS NOT NULL AS is_heading,
+    CASE WHEN b.x1 < b.gutter THEN coalesce(nullif(max(b.x1) FILTER (WHERE b.x1 < b.gutter) {_PAGE_OF} - min(b.x0) FILTER (WHERE b.x1 < b.gutter) {_PAGE_OF}, 0), ref_width)
+      WHEN b.x0 > b.gutter THEN coalesce(nullif(max(b.x1) FILTER (WHERE b.x0 > b.gutter) {_PAGE_OF} - min(b.x0) FILTER (WHERE b.x0 > b.gutter) {_PAGE_OF}, 0), ref_width) ELSE ref_width END AS own_width FROM bodied b JOIN widths USING (doc_id, page)
   LEFT JOIN headings h USING (doc_id, page, block_no) LEFT JOIN notes n USING (doc_id, page, block_no)),
-before AS (SELECT *, lag(x0) OVER w AS bx0, lag(x1) OVER w AS bx1, lag(size) OVER w AS bsize, lag(clean) OVER w AS bclean, lag(solo) OVER w AS bsolo FROM flow WINDOW w AS (PARTITION BY doc_id, page ORDER BY block_no)),
-joined AS (SELECT *, NOT {LETTERS} AS fragment, NOT solo AND NOT coalesce(bsolo, true) AND (NOT {LETTERS} OR (NOT (x0 > bx1 + 20 OR bx0 > x1 + 20) AND abs(size - bsize) <= 1 AND NOT regexp_matches(bclean, '[{C.TERMINAL}][{C.WS}]*\z') AND bx1 - bx0 >= ref_width * 0.55::DOUBLE)) AS joins FROM before),
+before AS (SELECT *, row_number() OVER w AS nth, lag(x0) OVER w AS bx0, lag(x1) OVER w AS bx1, lag(size) OVER w AS bsize, lag(clean) OVER w AS bclean, lag(solo) OVER w AS bsolo FROM flow WINDOW w AS (PARTITION BY doc_id, page ORDER BY ro)),
+prepared AS MATERIALIZED (SELECT *, NOT {LETTERS} AS fragment, NOT solo AND NOT coalesce(bsolo, true) AS goes, coalesce(NOT (x0 > bx1 + 20 OR bx0 > x1 + 20) AND abs(size - bsize) <= 1 AND NOT regexp_matches(bclean, '[{C.TERMINAL}][{C.WS}]*\z'), false) AS fits, coalesce(bx1 - bx0, 0) AS bwidth FROM before),
+walked AS (SELECT doc_id, page, nth, own_width AS open_width, false AS joins FROM prepared WHERE nth = 1
+  UNION ALL SELECT doc_id, page, nth, CASE WHEN joins THEN open_width ELSE own_width END, joins
+  FROM (SELECT p.doc_id, p.page, p.nth, p.own_width, w.open_width, p.goes AND (p.fragment OR (p.fits AND p.bwidth >= w.open_width * 0.55::DOUBLE)) AS joins FROM walked w JOIN prepared p ON p.doc_id = w.doc_id AND p.page = w.page AND p.nth = w.nth + 1)),
+joined AS (SELECT p.*, w.joins FROM prepared p JOIN walked w USING (doc_id, page, nth)),
 pieced AS (SELECT *, CASE WHEN NOT joins THEN clean WHEN fragment OR regexp_matches(clean, '\A[{C.NO_SPACE}]') OR regexp_matches(bclean, '[{S.HYPHENS}]$') THEN clean ELSE concat(' ', clean) END AS piece,
-  sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY block_no) AS para FROM joined),
-paragraphs AS (SELECT doc_id, page, para::BIGINT AS para, count(*) AS n_blocks, count(*) FILTER (WHERE joins AND NOT fragment) AS n_merged, string_agg(piece, '' ORDER BY block_no) AS text, string_agg(block_no::VARCHAR, ',' ORDER BY block_no) AS block_numbers,
-  min(x0) FILTER (WHERE NOT joins OR NOT fragment) AS x0, arg_min(y0, block_no) AS y0, max(x1) FILTER (WHERE NOT joins OR NOT fragment) AS x1, arg_max(y1, block_no) FILTER (WHERE NOT joins OR NOT fragment) AS y1,
-  bool_or(is_heading) AS is_heading, max(marker) AS marker, max(level) AS level, min(block_no) AS ord, min(ref_width) AS ref_width, min(page_x0) AS page_x0, min(page_x1) AS page_x1 FROM pieced GROUP BY ALL)"""
+  sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY nth) AS para FROM joined),
+paragraphs AS (SELECT doc_id, page, para::BIGINT AS para, count(*) AS n_blocks, count(*) FILTER (WHERE joins AND NOT fragment) AS n_merged, string_agg(piece, '' ORDER BY nth) AS text, string_agg(block_no::VARCHAR, ',' ORDER BY nth) AS block_numbers,
+  min(x0) FILTER (WHERE NOT joins OR NOT fragment) AS x0, arg_min(y0, nth) AS y0, max(x1) FILTER (WHERE NOT joins OR NOT fragment) AS x1, arg_max(y1, nth) FILTER (WHERE NOT joins OR NOT fragment) AS y1,
+  bool_or(is_heading) AS is_heading, max(marker) AS marker, max(level) AS level, min(ro) AS ord, min(ref_width) AS ref_width, min(page_x0) AS page_x0, min(page_x1) AS page_x1, min(gutter) AS gutter FROM pieced GROUP BY doc_id, page, para)"""
 
 
 @query("paragraph_flow", K.with_corpora(f", {PARAGRAPHS} SELECT doc_id, page, para, n_blocks, n_merged, text, block_numbers, x0, y0, x1, y1, is_heading, coalesce(marker, '') AS marker FROM paragraphs"))
@@ -122,7 +132,7 @@ def paragraph_flow(spark, sf_dir):
     return rows.select(*G.PAGE, "para", "n_blocks", "n_merged", "text", "block_numbers", "x0", "y0", "x1", "y1", "is_heading", "marker")
 
 
-QUOTE = f"length(text) <= 450 AND regexp_matches(text, '[^{C.WS}]') AND ref_width > 0 AND x0 - page_x0 >= greatest(18::DOUBLE, ref_width * 0.06::DOUBLE) AND page_x1 - x1 >= ref_width * 0.03::DOUBLE AND n_merged = 0 AND n_blocks = 1 AND NOT is_heading AND marker IS NULL"
+QUOTE = f"gutter IS NULL AND length(text) <= 450 AND regexp_matches(text, '[^{C.WS}]') AND ref_width > 0 AND x0 - page_x0 >= greatest(18::DOUBLE, ref_width * 0.06::DOUBLE) AND page_x1 - x1 >= ref_width * 0.03::DOUBLE AND n_merged = 0 AND n_blocks = 1 AND NOT is_heading AND marker IS NULL"
 
 
 @query("quotes", K.with_corpora(f", {PARAGRAPHS}, {K.IMAGES}, {CAPTIONS} SELECT p.doc_id, p.page, p.para, p.text FROM paragraphs p LEFT JOIN (SELECT DISTINCT doc_id, page, block_no::VARCHAR AS block_numbers, true AS captioned FROM captions) c USING (doc_id, page, block_numbers) WHERE {QUOTE} AND captioned IS NULL"))
@@ -135,7 +145,7 @@ def with_quotes(spark, sf_dir):
     """Paragraphs and whether they are quotes."""
     captions = S.image_captions(K.images(K.blocks(spark, sf_dir)), flow_blocks(spark, sf_dir)).select(*G.PAGE, F.col("block_no").cast("string").alias("block_numbers")).distinct()
     rows = paragraphs(spark, sf_dir).join(captions.withColumn("captioned", F.lit(True)), [*G.PAGE, "block_numbers"], "left")
-    plain = (F.col("n_blocks") == 1) & ~F.col("is_heading") & F.col("marker").isNull() & F.col("captioned").isNull()
+    plain = (F.col("n_blocks") == 1) & ~F.col("is_heading") & F.col("marker").isNull() & F.col("captioned").isNull() & F.col("gutter").isNull()
     return rows.withColumn("quote", S.is_quote(F.col("text"), F.col("x0"), F.col("x1"), F.col("page_x0"), F.col("page_x1"), F.col("ref_width"), plain))
 
 
@@ -256,7 +266,7 @@ def document_blocks_query(spark, sf_dir):
     return rows.select("doc_id", "block_id", "page", "type", F.coalesce("level", F.lit(0)).alias("level"), "text", T.thousandths(F.col("confidence")).cast("int").alias("confidence_milli"))
 
 
-@query("caption_links", K.with_corpora(f", {BLOCKS} SELECT c.doc_id, c.page, c.idx, d.block_id FROM captions c LEFT JOIN (SELECT doc_id, page, block_id, unnest(string_split(block_numbers, ','))::INT AS block_no FROM document_blocks WHERE type = 'paragraph') d USING (doc_id, page, block_no) WHERE c.doc_id % 4 <> 0"))
+@query("caption_links", K.with_corpora(f", {BLOCKS} SELECT c.doc_id, c.page, c.idx, d.block_id FROM captions c LEFT JOIN (SELECT doc_id, page, block_id, unnest(string_split(block_numbers, ','))::INT AS block_no FROM document_blocks WHERE type = 'paragraph') d USING (doc_id, page, block_no)"))
 def caption_links(spark, sf_dir):
     """Images to the paragraph that captions them, if the caption became one."""
     flow = flow_blocks(spark, sf_dir)
