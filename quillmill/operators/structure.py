@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmill.functions import chars as C
 from quillmill.functions import text as T
-from quillmill.operators.geometry import PAGE, clusters
+from quillmill.operators.geometry import PAGE, cluster_ids
 
 HYPHENS = "-­"
 
@@ -102,10 +101,12 @@ def _joins(rows: DataFrame) -> DataFrame:
 def paragraph_flow(blocks: DataFrame) -> DataFrame:
     """One row per paragraph, heading or footnote.
 
-    ``blocks``: ord, text, box, size, ref_width, own_width, gutter, page_x0, page_x1, level (of
-    headings) and marker (of footnotes). Letterless
+    ``blocks``: ord, text, box, size, ref_width, page_x0, page_x1, level (of
+    headings), marker (of footnotes) and, if pages may have columns, gutter and own_width. Letterless
     fragments join the open paragraph as they are and leave its box alone.
     """
+    if "gutter" not in blocks.columns:
+        blocks = with_column_width(blocks.withColumn("gutter", F.lit(None).cast("double")))
     page = W.partitionBy(*PAGE)
     order = page.orderBy("ord")
     rows = blocks.withColumn("before_x0", F.lag("x0").over(order)).withColumn("before_x1", F.lag("x1").over(order))
@@ -171,18 +172,6 @@ def cell_like(lines: Column) -> Column:
     return F.size(lines).between(1, 6) & F.forall(lines, lambda x: ~T.is_blank(x["text"]) & (F.length(x["text"]) <= 80))
 
 
-def ruled(x0: float, y0: float, x1: float, y1: float, rules: list[tuple[float, float, float, float]]) -> bool:
-    """A rule inside the box, give or take 3 points, that spans at least 60 per cent of a side."""
-    if x1 <= x0 or y1 <= y0:
-        return False
-    for a, b, c, d in rules:
-        across = min(c, x1 + 3) - max(a, x0 - 3)
-        down = min(d, y1 + 3) - max(b, y0 - 3)
-        if (b >= y0 - 3 and d <= y1 + 3 and across >= 0.6 * (x1 - x0)) or (a >= x0 - 3 and c <= x1 + 3 and down >= 0.6 * (y1 - y0)):
-            return True
-    return False
-
-
 def rule_support(regions: DataFrame, rules: DataFrame) -> DataFrame:
     """``regions`` (doc_id, page, box) framed by a rule of the page: a range semi-join."""
     inside_h = "r.y0 >= g.y0 - 3 and r.y1 <= g.y1 + 3 and least(r.x1, g.x1 + 3) - greatest(r.x0, g.x0 - 3) >= 0.6D * (g.x1 - g.x0)"
@@ -191,44 +180,27 @@ def rule_support(regions: DataFrame, rules: DataFrame) -> DataFrame:
     return regions.alias("g").join(rules.alias("r"), F.expr(on), "left_semi")
 
 
-def page_table(cells: list[dict], rules: list[tuple[float, float, float, float]]) -> tuple[list[tuple[int, int, int]], float] | None:
-    """(row, column, cell index) and confidence of the page's ruled grid, if there is one."""
-    xs = [c for c in clusters([c["x0"] for c in cells], 6.0) if len(c) >= 2]
-    ys = [c for c in clusters([c["y0"] for c in cells], 6.0) if len(c) >= 2]
-    if len(cells) < 4 or len(xs) < 2 or len(ys) < 2:
-        return None
-    col = {i: k for k, group in enumerate(xs) for i in group}
-    row = {i: k for k, group in enumerate(ys) for i in group}
-    members = [i for i in range(len(cells)) if i in col and i in row]
-    if len(members) < 4:
-        return None
-    width = max(cells[i]["x1"] for i in members) - min(cells[i]["x0"] for i in members)
-    members = [i for i in members if cells[i]["x1"] - cells[i]["x0"] <= 0.85 * width]
-    places = {(row[i], col[i]) for i in members}
-    if len(members) < 4 or len(places) < len(members):
-        return None
-    n_rows, n_cols = max(r for r, _ in places) + 1, max(c for _, c in places) + 1
-    fill = len(members) / (n_rows * n_cols)
-    box = [f(cells[i][k] for i in members) for f, k in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
-    if n_rows < 2 or n_cols < 2 or fill < 0.6 or not ruled(*box, rules):
-        return None
-    return sorted((row[i], col[i], i) for i in members), round(min(0.9, fill * 0.9 + 0.1), 3)
+def _lines_up(cells: DataFrame, axis: str, name: str) -> DataFrame:
+    """``doc_id, page, block_no, line_no`` and the number of the column or row of each cell that shares one with another."""
+    pages = cells.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(axis, "block_no", "line_no"))).alias("c"))  # one page's
+    pages = pages.withColumn("ids", cluster_ids(F.transform("c", lambda s: s[axis]), 6.0))
+    rows = pages.select(*PAGE, F.explode(F.arrays_zip("c", "ids")).alias("z")).select(*PAGE, "z.c.block_no", "z.c.line_no", F.col("z.ids").alias("id"))
+    shared = rows.withColumn("n", F.count("*").over(W.partitionBy(*PAGE, "id"))).filter("n >= 2")
+    return shared.select(*PAGE, "block_no", "line_no", (F.dense_rank().over(W.partitionBy(*PAGE).orderBy("id")) - 1).cast("int").alias(name))
 
 
 def tables(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """``doc_id, page, row, col, block_no, text, confidence``: cells of ruled grids. lines: doc_id, page, block_no, line_no, text, box, of cell-like blocks."""
-
-    def grid(rows):
-        for pdf in rows:
-            out = []
-            for doc_id, page, cells, page_rules in zip(pdf["doc_id"], pdf["page"], pdf["cells"], pdf["rules"]):
-                cells = sorted(cells, key=lambda c: (c["block_no"], c["line_no"]))
-                found = page_table(cells, [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in page_rules])
-                for r, c, i in found[0] if found else ():
-                    out.append((doc_id, page, r, c, cells[i]["block_no"], cells[i]["text"], found[1]))
-            yield pd.DataFrame(out, columns=["doc_id", "page", "row", "col", "block_no", "text", "confidence"])
-
-    cells = lines.groupBy(*PAGE).agg(F.collect_list(F.struct("block_no", "line_no", "text", "x0", "y0", "x1", "y1")).alias("cells"))  # one page's
-    page_rules = rules.groupBy(*PAGE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("rules"))
-    both = cells.join(page_rules, PAGE)
-    return both.mapInPandas(grid, "doc_id long, page int, row int, col int, block_no int, text string, confidence double")
+    """``doc_id, page, row, col, block_no, text, confidence``: cells of ruled grids. lines: doc_id, page, block_no, line_no, text, box, of cell-like blocks.
+
+    Cells line up in columns by x0 and in rows by y0; cells that are alone in either, or that span the grid, are left out. A grid has four cells, two rows
+    and two columns at least, no place twice, 60 per cent of its places filled, and a rule.
+    """
+    page, cell = W.partitionBy(*PAGE), [*PAGE, "block_no", "line_no"]
+    rows = lines.join(_lines_up(lines, "x0", "col"), cell).join(_lines_up(lines, "y0", "row"), cell)
+    rows = rows.withColumn("wide", F.max("x1").over(page) - F.min("x0").over(page)).filter("x1 - x0 <= 0.85 * wide")
+    rows = rows.withColumn("n", F.count("*").over(page)).withColumn("at_place", F.count("*").over(W.partitionBy(*PAGE, "row", "col")))
+    rows = rows.withColumn("n_rows", F.max("row").over(page) + 1).withColumn("n_cols", F.max("col").over(page) + 1).withColumn("twice", F.max("at_place").over(page) > 1)
+    rows = rows.withColumn("fill", F.col("n") / (F.col("n_rows") * F.col("n_cols"))).filter("n >= 4 and not twice and n_rows >= 2 and n_cols >= 2 and fill >= 0.6")
+    box = rows.groupBy(*PAGE).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    confidence = F.round(F.least(F.lit(0.9), F.col("fill") * 0.9 + 0.1), 3)
+    return rows.join(rule_support(box, rules).select(*PAGE), PAGE).select(*PAGE, "row", "col", "block_no", "text", confidence.alias("confidence"))

@@ -182,7 +182,7 @@ def cell_like(spark, sf_dir):
 
 
 def table_cells(spark, sf_dir):
-    """Words of blocks 1 to 3 as cells of a grid: three to a row; in documents whose id divides by 11 one is missing."""
+    """Words of blocks 1 to 3 as cells of a grid: the first three of a block make a row, since a cell is a short line by nature; in documents whose id divides by 11 one is missing."""
     rows = K.blocks(spark, sf_dir).filter("block_no between 1 and 3").select(*G.PAGE, "block_no", F.posexplode(F.slice(T.tokens(F.col("text")), 1, 3)).alias("line_no", "text"))
     rows = rows.filter("not (doc_id % 11 = 0 and block_no = 2 and line_no = 1) and length(text) <= 80")
     x0, y0 = F.lit(60.0) + F.col("line_no") * 150 + F.col("block_no") % 2, F.lit(100.0) + F.col("block_no") * 40 + F.col("line_no") % 2
@@ -223,14 +223,14 @@ def table_flow_exclusion(spark, sf_dir):
 
 # joining lines ----------------------------------------------------------------------------
 
-_PAIR = "SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN concat(a, '-') ELSE a END AS a, CASE WHEN line_no % 2 = 0 THEN lower(b) ELSE b END AS b FROM (SELECT doc_id, line_no, substr(trim(line), 1, 30) AS a, trim(substr(line, 31, 30)) AS b FROM lines) WHERE length(a) = 30 AND length(b) > 0"
+_PAIR = "SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN concat(a, '-') ELSE a END AS a, CASE WHEN line_no % 2 = 0 THEN lower(b) ELSE b END AS b FROM (SELECT doc_id, line_no, trim(line) AS a, trim(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no)) AS b FROM lines) WHERE length(a) > 0 AND length(b) > 0"
 _TRIMMED = rf"regexp_replace(a, '[{C.WS}]+\z', '')"
 
 
 @query("dehyphenate", K.with_corpora(rf"SELECT doc_id, line_no, CASE WHEN fused THEN concat(substr(a, 1, length(a) - 1), b) WHEN regexp_matches(a, '-$') OR regexp_matches(b, '\A[{C.NO_SPACE}]') OR regexp_matches(a, ' $') THEN concat(a, b) ELSE concat(a, ' ', b) END AS text, CASE WHEN fused THEN concat(a, chr(10), b) ELSE '' END AS source_text FROM (SELECT *, regexp_matches(b, '^[a-z\x{{00E0}}-\x{{024F}}]') AND regexp_matches(a, '[A-Za-z\x{{00C0}}-\x{{024F}}]-$') AS fused FROM ({_PAIR}))"))
 def dehyphenate(spark, sf_dir):
-    """Two lines of a block joined: a Latin word cut by a hyphen is mended and its source kept."""
-    rows = K.lines(spark, sf_dir).selectExpr("doc_id", "line_no", "substr(trim(line), 1, 30) as a", "trim(substr(line, 31, 30)) as b").filter("length(a) = 30 and length(b) > 0")
+    """Each line joined with the next: a Latin word cut by a hyphen is mended and its source kept."""
+    rows = K.lines(spark, sf_dir).selectExpr("doc_id", "line_no", "trim(line) as a", "trim(lead(line) over (partition by doc_id order by line_no)) as b").filter("length(a) > 0 and length(b) > 0")
     rows = rows.withColumn("a", F.when(F.col("line_no") % 3 == 0, F.concat("a", F.lit("-"))).otherwise(F.col("a"))).withColumn("b", F.when(F.col("line_no") % 2 == 0, F.lower("b")).otherwise(F.col("b")))
     a, b = F.col("a"), F.col("b")
     fused = b.rlike(r"^[a-z\x{00E0}-\x{024F}]") & a.rlike(r"[A-Za-z\x{00C0}-\x{024F}]-$")

@@ -268,7 +268,7 @@ def escape_sql(col: str) -> str:
 
 
 _QUOTED = f"replace(replace(replace({ESCAPED}, chr(10), '&#10;'), chr(13), '&#13;'), chr(9), '&#9;')"
-_NASTY = "concat('<a href=\"', substr(t, 1, 300), chr(9), CASE WHEN doc_id % 3 = 0 THEN '''' ELSE '&' END, chr(8), '\">')"
+_NASTY = "concat('<a href=\"', t, chr(9), CASE WHEN doc_id % 3 = 0 THEN '''' ELSE '&' END, chr(8), '\">')"
 
 
 def quoteattr_sql(col: str) -> str:
@@ -278,7 +278,7 @@ def quoteattr_sql(col: str) -> str:
 
 @query("xml_escape", K.with_corpora(f"SELECT doc_id, {ESCAPED} AS escaped, {quoteattr_sql('x')} AS quoted FROM (SELECT doc_id, {_NASTY} AS x FROM scripts)"))
 def xml_escape(spark, sf_dir):
-    x = F.concat(F.lit('<a href="'), F.substring("t", 1, 300), F.lit("\t"), F.when(F.col("doc_id") % 3 == 0, "'").otherwise("&"), F.lit("\x08"), F.lit('">'))
+    x = F.concat(F.lit('<a href="'), F.col("t"), F.lit("\t"), F.when(F.col("doc_id") % 3 == 0, "'").otherwise("&"), F.lit("\x08"), F.lit('">'))
     rows = K.scripts(spark, sf_dir).select("doc_id", x.alias("x"))
     return rows.select("doc_id", T.escape(F.col("x")).alias("escaped"), T.quoteattr(F.col("x")).alias("quoted"))
 
@@ -289,20 +289,20 @@ _CODES = f"regexp_extract_all(x, '[^{C.XML_LEGAL}]')"
 @query("xml_diagnostics", K.with_corpora(f"SELECT doc_id % 10 AS grp, format('U+{{:04X}}', ord(c)) AS codepoint, count(*) AS n, count(DISTINCT doc_id) AS n_blocks FROM (SELECT doc_id, unnest({_CODES}) AS c FROM (SELECT doc_id, concat({_NASTY}, CASE WHEN doc_id % 2 = 0 THEN chr(11) ELSE chr(1) END) AS x FROM scripts)) GROUP BY ALL"))
 def xml_diagnostics(spark, sf_dir):
     """Characters that XML cannot hold, by code point, and in how many texts."""
-    x = F.concat(F.lit('<a href="'), F.substring("t", 1, 300), F.lit("\t"), F.when(F.col("doc_id") % 3 == 0, "'").otherwise("&"), F.lit("\x08"), F.lit('">'), F.when(F.col("doc_id") % 2 == 0, "\x0b").otherwise("\x01"))
+    x = F.concat(F.lit('<a href="'), F.col("t"), F.lit("\t"), F.when(F.col("doc_id") % 3 == 0, "'").otherwise("&"), F.lit("\x08"), F.lit('">'), F.when(F.col("doc_id") % 2 == 0, "\x0b").otherwise("\x01"))
     rows = K.scripts(spark, sf_dir).select("doc_id", F.explode(T.extract_all(x, f"[^{C.XML_LEGAL}]")).alias("c"))
     code = F.concat(F.lit("U+"), F.lpad(F.hex(F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("long")), 4, "0"))
     return rows.groupBy((F.col("doc_id") % 10).alias("grp"), code.alias("codepoint")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_blocks"))
 
 
-_SPACED = "concat(CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE '' END, substr(t, 1, 40), CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE ' ' END)"
+_SPACED = "concat(CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE '' END, t, CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE ' ' END)"
 _BEFORE, _REST = rf"regexp_extract(x, '\A[{C.WS}]*')", rf"substr(x, length(regexp_extract(x, '\A[{C.WS}]*')) + 1)"
 _AFTER = rf"regexp_extract({_REST}, '[{C.WS}]*\z')"
 
 
 @query("bdi_span", K.with_corpora(f"SELECT doc_id, concat({escape_sql(_BEFORE)}, '<bdi lang=\"ar\" dir=\"rtl\">', {escape_sql(f'substr({_REST}, 1, length({_REST}) - length({_AFTER}))')}, '</bdi>', {escape_sql(_AFTER)}) AS html FROM (SELECT doc_id, {_SPACED} AS x FROM scripts)"))
 def bdi_span(spark, sf_dir):
-    x = F.concat(F.when(F.col("doc_id") % 2 == 0, "  ").otherwise(""), F.substring("t", 1, 40), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(" "))
+    x = F.concat(F.when(F.col("doc_id") % 2 == 0, "  ").otherwise(""), F.col("t"), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(" "))
     rows = K.scripts(spark, sf_dir).select("doc_id", x.alias("x"))
     return rows.select("doc_id", T.bdi(F.col("x"), F.lit("ar"), F.lit("rtl")).alias("html"))
 
@@ -377,23 +377,23 @@ def search_key(spark, sf_dir):
 
 # names and labels ------------------------------------------------------------------
 
-_NAME = "concat(source, '/', substr(text, 1, 40), '.pdf')"
+_NAME = "concat(source, '/', text, '.pdf')"
 _BASE = r"regexp_extract(x, '([^/]*)/*\z', 1)"
 _CLEAN = rf"regexp_replace(regexp_replace({_BASE}, '[^A-Za-z0-9._-]+', '_', 'g'), '\A[._]+|[._]+\z', '', 'g')"
 
 
 @query("sanitize_filename", f"SELECT doc_id, substr(CASE WHEN {_CLEAN} = '' THEN 'document.pdf' ELSE {_CLEAN} END, 1, 120) AS filename FROM (SELECT doc_id, {_NAME} AS x FROM documents)")
 def sanitize_filename(spark, sf_dir):
-    return K.table(spark, sf_dir, "documents").select("doc_id", T.sanitize_filename(F.concat("source", F.lit("/"), F.substring("text", 1, 40), F.lit(".pdf"))).alias("filename"))
+    return K.table(spark, sf_dir, "documents").select("doc_id", T.sanitize_filename(F.concat("source", F.lit("/"), F.col("text"), F.lit(".pdf"))).alias("filename"))
 
 
-_AUTHORS = "replace(replace(substr(text, 1, 160), ' of ', ' and '), '.', ' &')"
+_AUTHORS = "replace(replace(text, ' of ', ' and '), '.', ' &')"
 
 
-@query("split_authors", rf"SELECT doc_id, array_to_string((list_filter(list_transform(regexp_split_to_array(x, '[,&]|\band\b'), lambda p: regexp_replace(p, '\A[{C.WS}]+|[{C.WS}]+\z', '', 'g')), lambda p: p <> ''))[1:5], '|') AS authors FROM (SELECT doc_id, {_AUTHORS} AS x FROM documents WHERE lang = 'en')")
+@query("split_authors", rf"SELECT doc_id, array_to_string((list_filter(list_transform(regexp_split_to_array(x, '[,&]|\band\b'), lambda p: regexp_replace(p, '\A[{C.WS}]+|[{C.WS}]+\z', '', 'g')), lambda p: p <> ''))[1:5], '|') AS authors FROM (SELECT doc_id, {_AUTHORS} AS x FROM documents)")
 def split_authors(spark, sf_dir):
-    x = F.replace(F.replace(F.substring("text", 1, 160), F.lit(" of "), F.lit(" and ")), F.lit("."), F.lit(" &"))
-    return K.table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.array_join(T.split_authors(x), "|").alias("authors"))
+    x = F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(" and ")), F.lit("."), F.lit(" &"))
+    return K.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.split_authors(x), "|").alias("authors"))
 
 
 @query("language_codes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ara,ind,eng' WHEN doc_id % 3 = 1 THEN 'eng,ara' ELSE 'ind' END AS codes FROM documents")
@@ -410,16 +410,15 @@ def format_bytes(spark, sf_dir):
     return K.table(spark, sf_dir, "documents").select("doc_id", T.format_bytes(F.col("n_chars") * (1 + F.col("doc_id") % 997)).alias("size"))
 
 
-@query("ordered_distinct", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x), ' ') AS words FROM (SELECT doc_id, string_split(substr(text, 1, 400), ' ') AS w FROM documents)")
+@query("ordered_distinct", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x), ' ') AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def ordered_distinct(spark, sf_dir):
-    return K.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 400), " ")), " ").alias("words"))
+    return K.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.col("text"), " ")), " ").alias("words"))
 
 
-@query("golden_summary", K.with_corpora(f", g AS (SELECT doc_id % 20 AS grp, string_agg(t, chr(10) ORDER BY doc_id) AS t FROM scripts GROUP BY ALL) SELECT grp, {n(C.AL)} AS arabic_letters, {n(C.HARAKAT)} AS harakat, {n(C.PF)} AS presentation_forms, sha256(t) AS text_sha256 FROM g"))
+@query("golden_summary", over(f"{n(C.AL)} AS arabic_letters, {n(C.HARAKAT)} AS harakat, {n(C.PF)} AS presentation_forms, sha256(t) AS text_sha256"))
 def golden_summary(spark, sf_dir):
-    """Counts over, and the digest of, the texts of a group in order."""
-    rows = K.scripts(spark, sf_dir).groupBy((F.col("doc_id") % 20).alias("grp")).agg(F.expr("listagg(t, '\n') within group (order by doc_id)").alias("t"))
-    return rows.select("grp", T.arabic_letters(col_t()).alias("arabic_letters"), T.count_class(col_t(), C.HARAKAT).alias("harakat"), T.count_class(col_t(), C.PF).alias("presentation_forms"), F.sha2("t", 256).alias("text_sha256"))
+    """Counts over each document's whole text, and its digest."""
+    return K.scripts(spark, sf_dir).select("doc_id", T.arabic_letters(col_t()).alias("arabic_letters"), T.count_class(col_t(), C.HARAKAT).alias("harakat"), T.count_class(col_t(), C.PF).alias("presentation_forms"), F.sha2("t", 256).alias("text_sha256"))
 
 
 @query("has_arabic", K.with_corpora(f"SELECT doc_id, bool_or(regexp_matches(line, '[{C.AB}]')) AS has_arabic FROM lines GROUP BY doc_id"))

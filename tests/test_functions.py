@@ -101,10 +101,12 @@ def test_run_splitters_match_brute_force(spark):
         assert edited == (split_runs(t, True) if script == "Mixed" else [t])
 
 
-def test_gutters():
-    grid = [(x0, x1) for x0, x1 in ((50, 200), (230, 380), (410, 560)) for _ in range(3)]
-    a, b = G.page_gutters(grid, 0.0, 595.0)
-    assert 200 < a < 230 and 380 < b < 410
+def test_gutters(spark):
+    grid = [(1, 1, float(x0), float(x1)) for x0, x1 in ((50, 200), (230, 380), (410, 560)) for _ in range(3)]
+    blocks = spark.createDataFrame(grid + [(2, 1, 50.0, 500.0)] * 5, "doc_id long, page int, x0 double, x1 double")
+    found = {r["doc_id"]: r["gutters"] for r in G.find_gutters(blocks, 595.0).collect()}
+    a, b = found[1]
+    assert 200 < a < 230 and 380 < b < 410 and found[2] == []
 
 
 def test_right_to_left_columns(spark):
@@ -142,12 +144,31 @@ def test_paragraphs_merge_and_fragments_join(spark):
     assert found == [("satu dua tiga empat lima.", 2, 0.75), ("أما بعد:", 2, 0.95)]
 
 
-def test_table_needs_rules():
-    cells = [{"x0": 60.0 + 150 * c, "x1": 160.0 + 150 * c, "y0": 100.0 + 40 * r, "y1": 120.0 + 40 * r} for r in range(3) for c in range(3)]
-    assert S.page_table(cells, []) is None
-    grid, confidence = S.page_table(cells, [(60.0, 150.0, 460.0, 151.0)])
-    assert len(grid) == 9 and confidence == 0.9
-    assert S.page_table(cells + [cells[0]], [(60.0, 150.0, 460.0, 151.0)]) is None
+def test_table_needs_rules(spark):
+    cells = [(1, 1, r, c, f"{r}{c}", 60.0 + 150 * c, 100.0 + 40 * r, 160.0 + 150 * c, 120.0 + 40 * r) for r in range(3) for c in range(3)]
+    lines = "doc_id long, page int, block_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double"
+    rules = "doc_id long, page int, x0 double, y0 double, x1 double, y1 double"
+    rule = spark.createDataFrame([(1, 1, 60.0, 150.0, 460.0, 151.0)], rules)
+    assert S.tables(spark.createDataFrame(cells, lines), spark.createDataFrame([], rules)).count() == 0
+    grid = S.tables(spark.createDataFrame(cells, lines), rule).collect()
+    assert {(r["row"], r["col"], r["text"], r["confidence"]) for r in grid} == {(r, c, f"{r}{c}", 0.9) for r in range(3) for c in range(3)}
+    twice = cells + [(*cells[0][:2], 9, 9, *cells[0][4:])]
+    assert S.tables(spark.createDataFrame(twice, lines), rule).count() == 0
+    gap = [c for k, c in enumerate(cells) if k != 4]
+    assert {r["confidence"] for r in S.tables(spark.createDataFrame(gap, lines), rule).collect()} == {0.9}
+    assert S.tables(spark.createDataFrame(cells[:3], lines), rule).count() == 0
+
+
+def slow_clusters(values, tolerance):
+    """Ascending values, each in the cluster before it if it is near that cluster's mean."""
+    ids, members = [], []
+    for v in sorted(values):
+        if members and v - sum(members) / len(members) <= tolerance:
+            members.append(v)
+        else:
+            members = [v]
+        ids.append((ids[-1] if ids else 0) + (len(members) == 1))
+    return ids
 
 
 def test_cluster_fold_matches_loop(spark):
@@ -156,6 +177,6 @@ def test_cluster_fold_matches_loop(spark):
     random.seed(5)
     for _ in range(20):
         values = [random.uniform(0, 60) for _ in range(random.randint(1, 12))]
-        want = [k + 1 for k, group in enumerate(G.clusters(values, 6.0)) for _ in group]
+        want = slow_clusters(values, 6.0)
         frame = spark.createDataFrame([(values,)], "v array<double>")
         assert frame.select(G.cluster_ids(F.col("v"), 6.0)).first()[0] == want
