@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import chars as C
@@ -111,16 +111,32 @@ def _hits(words: Column, markers: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*markers)))
 
 
+def language_parts(text: Column) -> dict[str, Column]:
+    """Whether a stripped text is Arabic by its letters, its script, and its words without punctuation at their ends."""
+    words = F.transform(tokens(text), lambda w: F.lower(F.regexp_replace(w, f"^{C.EDGE_PUNCTUATION}|{C.EDGE_PUNCTUATION}$", "")))
+    return {"script": script_class(text), "mostly": count_class(text, C.AB) > F.floor(F.length(text) / 2), "words": words}
+
+
+def language_of(parts: dict[str, Column], ind: Column, eng: Column) -> tuple[Column, Column]:
+    arabic, mixed = (parts["script"] == "Arabic") | parts["mostly"], parts["script"] == "Mixed"
+    label = F.when(arabic, "ar").when(mixed, F.when(ind >= eng, "id").otherwise("en")).when(ind > eng, "id").when(eng > ind, "en").otherwise("unknown")
+    hits = F.when(arabic, 0).when(mixed, F.greatest(ind, eng)).when(ind != eng, F.greatest(ind, eng)).otherwise(0)
+    return label, hits
+
+
 def language(text: Column) -> tuple[Column, Column]:
     """(label, marker hits): Arabic by script, Indonesian or English by function words, else unknown."""
-    stripped = strip_ws(text)
-    script = script_class(stripped)
-    words = F.transform(tokens(stripped), lambda w: F.lower(F.regexp_replace(w, f"^{C.EDGE_PUNCTUATION}|{C.EDGE_PUNCTUATION}$", "")))
-    ind, eng = _hits(words, C.INDONESIAN), _hits(words, C.ENGLISH)
-    arabic = (script == "Arabic") | (count_class(stripped, C.AB) > F.floor(F.length(stripped) / 2))
-    label = F.when(arabic, "ar").when(script == "Mixed", F.when(ind >= eng, "id").otherwise("en")).when(ind > eng, "id").when(eng > ind, "en").otherwise("unknown")
-    hits = F.when(arabic, 0).when(script == "Mixed", F.greatest(ind, eng)).when(ind != eng, F.greatest(ind, eng)).otherwise(0)
-    return label, hits
+    parts = language_parts(strip_ws(text))
+    return language_of(parts, _hits(parts["words"], C.INDONESIAN), _hits(parts["words"], C.ENGLISH))
+
+
+def with_language(frame: DataFrame, text: str = "t") -> DataFrame:
+    """``frame`` with lang and hits; every part is computed once, in a projection of its own."""
+    frame = frame.withColumn("_s", strip_ws(F.col(text)))
+    frame = frame.withColumns({f"_{k}": v for k, v in language_parts(F.col("_s")).items()})
+    frame = frame.withColumns({"_ind": _hits(F.col("_words"), C.INDONESIAN), "_eng": _hits(F.col("_words"), C.ENGLISH)})
+    label, hits = language_of({k: F.col(f"_{k}") for k in ("script", "mostly")}, F.col("_ind"), F.col("_eng"))
+    return frame.withColumns({"lang": label, "hits": hits}).drop("_s", "_script", "_mostly", "_words", "_ind", "_eng")
 
 
 # Arabic diagnostics ---------------------------------------------------------
@@ -128,8 +144,12 @@ def language(text: Column) -> tuple[Column, Column]:
 
 def isolation_flags(text: Column) -> Column:
     """A string with 1 for each token that is one Arabic letter with marks at most, else 0."""
+    return lone_flags(tokens(text))
+
+
+def lone_flags(words: Column) -> Column:
     lone = f"^[{C.MK}]*[{C.AL}][{C.MK}]*$"
-    return F.concat_ws("", F.transform(tokens(text), lambda k: F.when(k.rlike(lone), "1").otherwise("0")))
+    return F.concat_ws("", F.transform(words, lambda k: F.when(k.rlike(lone), "1").otherwise("0")))
 
 
 def spacing(text: Column) -> dict[str, Column]:
@@ -182,20 +202,51 @@ def digit_punctuation(text: Column) -> Column:
     return F.regexp_count(text, F.lit(d + p)) + F.regexp_count(text, F.lit(p + d))
 
 
+def integrity_counts(text: Column, words: Column, flags: Column) -> dict[str, Column]:
+    """What the score is made of. words: those with an Arabic character; flags: of isolated tokens."""
+    return {
+        "n_letters": letters(text),
+        "n_forms": count_class(text, C.PF),
+        "n_unusual": unusual_letters(text),
+        "longest": F.coalesce(F.array_max(F.transform(extract_all(flags, "1+"), F.length)), F.lit(0)),
+        "n_orphans": F.regexp_count(text, F.lit(rf"(?:\A|[{C.WS}])[{C.MK}]")),
+        "n_initial": F.size(F.filter(words, lambda w: w.rlike(f"^[{C.HARAKAT}]"))),
+        "n_words": F.size(words),
+        "n_jumps": F.size(punctuation_jumps(text)),
+        "arabic": has_class(text, C.AL),
+    }
+
+
 def integrity(text: Column, severe: Column | None = None) -> dict[str, Column]:
     """Penalties (as doubles), score and level; null for text without Arabic letters. severe: number of severe bidi issues."""
-    n_letters, n_forms = letters(text), count_class(text, C.PF)
-    forms = F.when(n_letters > 0, F.least(F.lit(0.25), n_forms / n_letters * 0.4)).otherwise(0.0)
-    unusual = F.least(F.lit(0.3), unusual_letters(text) * 0.05)
-    spaced = F.when(spacing(text)["suspicious"], 0.25).otherwise(0.0)
-    orphans = F.least(F.lit(0.2), marks(text)["orphans"] * 0.05)
-    initial, words = mark_initial(text)
-    rate = F.when(words > 0, initial / words).otherwise(0.0)
+    return penalties(integrity_counts(text, F.filter(tokens(text), lambda w: w.rlike(f"[{C.AB}]")), isolation_flags(text)), severe)
+
+
+def with_integrity(frame: DataFrame, text: str = "t") -> DataFrame:
+    """``frame`` with the counts, penalties and score; every count is computed once, in a projection of its own."""
+    frame = frame.withColumn("_tokens", tokens(F.col(text)))
+    frame = frame.withColumns({"_words": F.filter("_tokens", lambda w: w.rlike(f"[{C.AB}]")), "_flags": lone_flags(F.col("_tokens"))})
+    counts = integrity_counts(F.col(text), F.col("_words"), F.col("_flags"))
+    frame = frame.withColumns(counts).drop("_tokens", "_words", "_flags")
+    frame = frame.withColumn("rate", _rate({k: F.col(k) for k in counts}))
+    return frame.withColumns(penalties({k: F.col(k) for k in [*counts, "rate"]}))
+
+
+def _rate(c: dict[str, Column]) -> Column:
+    return F.when(c["n_words"] > 0, c["n_initial"] / c["n_words"]).otherwise(0.0)
+
+
+def penalties(c: dict[str, Column], severe: Column | None = None) -> dict[str, Column]:
+    forms = F.when(c["n_letters"] > 0, F.least(F.lit(0.25), c["n_forms"] / c["n_letters"] * 0.4)).otherwise(0.0)
+    unusual = F.least(F.lit(0.3), c["n_unusual"] * 0.05)
+    spaced = F.when(c["longest"] >= 3, 0.25).otherwise(0.0)
+    orphans = F.least(F.lit(0.2), c["n_orphans"] * 0.05)
+    rate = c.get("rate", _rate(c))
     reversal = F.when(rate >= 0.2, F.least(F.lit(0.45), F.greatest(F.lit(0.3), rate * 0.6))).otherwise(0.0)
     if severe is None:
-        severe = F.when(F.size(punctuation_jumps(text)) > 0, 1).otherwise(0)
+        severe = F.when(c["n_jumps"] > 0, 1).otherwise(0)
     total = F.lit(1.0) - forms - unusual - spaced - orphans - reversal - severe * 0.1
-    score = F.when(has_class(text, C.AL), F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+    score = F.when(c["arabic"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
     return {"forms": forms, "unusual": unusual, "spaced": spaced, "orphans": orphans, "reversal": reversal, "score": score}
 
 

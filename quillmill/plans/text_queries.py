@@ -169,18 +169,15 @@ LEVEL = "CASE WHEN score >= 0.85::DOUBLE THEN 'good' WHEN score >= 0.6::DOUBLE T
 
 def scored(frame, *keys: str):
     """``keys``, score and level of the texts in column t."""
-    parts = T.integrity(col_t())
-    return frame.select(*keys, "t", *(v.alias(k) for k, v in parts.items())).withColumn("level", T.integrity_level(F.col("score")))
+    rows = T.with_integrity(frame.select(*keys, "t")).select(*keys, "t", "forms", "unusual", "spaced", "orphans", "reversal", "score")
+    return rows.withColumn("level", T.integrity_level(F.col("score")))
 
 
 @query("integrity_score", K.with_corpora(f", {integrity_cte('scripts', 'doc_id', 't')} SELECT doc_id, coalesce({thousandths('score')}, -1) AS score_milli, {thousandths('forms')} AS forms_milli, n_unusual, longest, n_orphans, n_initial, n_words, n_jumps FROM scored"))
 def integrity_score(spark, sf_dir):
-    initial, words = T.mark_initial(col_t())
-    rows = K.scripts(spark, sf_dir).withColumns({k: v for k, v in T.integrity(col_t()).items() if k in ("forms", "score")})
-    return rows.select(
-        "doc_id", F.coalesce(T.thousandths(F.col("score")), F.lit(-1)).alias("score_milli"), T.thousandths(F.col("forms")).alias("forms_milli"), T.unusual_letters(col_t()).alias("n_unusual"),
-        T.spacing(col_t())["longest_run"].alias("longest"), T.marks(col_t())["orphans"].alias("n_orphans"), initial.alias("n_initial"), words.alias("n_words"), F.size(T.punctuation_jumps(col_t())).alias("n_jumps"),
-    )
+    rows = T.with_integrity(K.scripts(spark, sf_dir))
+    counts = ("n_unusual", "longest", "n_orphans", "n_initial", "n_words", "n_jumps")
+    return rows.select("doc_id", F.coalesce(T.thousandths(F.col("score")), F.lit(-1)).alias("score_milli"), T.thousandths(F.col("forms")).alias("forms_milli"), *counts)
 
 
 @query("integrity_level", K.with_corpora(f", {integrity_cte('scripts', 'doc_id', 't')} SELECT doc_id, {LEVEL} AS level FROM scored"))
@@ -204,8 +201,7 @@ labelled AS (SELECT {keys}, script, CASE WHEN script = 'Arabic' OR mostly THEN '
 
 @query("detect_language", K.with_corpora(f", {language_cte('scripts', 'doc_id', 't')} SELECT doc_id, lang, hits FROM labelled"))
 def detect_language(spark, sf_dir):
-    label, hits = T.language(col_t())
-    return K.scripts(spark, sf_dir).select("doc_id", label.alias("lang"), hits.alias("hits"))
+    return T.with_language(K.scripts(spark, sf_dir)).select("doc_id", "lang", "hits")
 
 
 # runs and markup ----------------------------------------------------------------
