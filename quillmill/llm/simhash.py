@@ -467,11 +467,12 @@ def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: f
         return materialize(similar(pairs, texts, words, similarity), f"near-{name}")
 
     first = verified(lead_pairs(shared, nodes, similarity), "first")
+    # what is known is handed on as stars, whose components take few rounds
     known = materialize(connected_components(first), "near-known")
-    second = first.unionByName(verified(open_pairs(shared, nodes, known, similarity, nearest=True), "second"))
-    known = materialize(connected_components(second), "near-known")
+    second = verified(open_pairs(shared, nodes, known, similarity, nearest=True), "second")
+    known = materialize(connected_components(second.union(known.select("node", "root"))), "near-known")
     rest = verified(open_pairs(shared, nodes, known, similarity), "rest")
-    roots = connected_components(second.unionByName(rest))
+    roots = connected_components(rest.union(known.select("node", "root")))
     rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rows = materialize(rows.select("row", "doc_id", F.coalesce("root", "fp").alias("component")), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
