@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.plans import layout_queries, review_queries, structure_queries, text_queries  # noqa: F401 - each registers its queries
+from quillmill.plans import layout_queries, review_queries, service_queries, structure_queries, text_queries  # noqa: F401 - each registers its queries
 from quillmill.plans.registry import ORACLES, QUERIES, Query
 
 
