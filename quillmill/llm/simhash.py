@@ -139,7 +139,8 @@ def close_links(prints: DataFrame, distance: int = 3, block: int = 2048) -> Data
     rows = variants(prints)
     sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"), F.first("part").alias("part"))
     busy = sized.filter("n > 1 and (part % 32 = 0 or (ones > 0 and ones < n))").select("key", "n")
-    members = rows.join(busy, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # Spark takes the exploded rows for no larger than the fingerprints; without the hint the busy variants may be gathered in the driver
+    members = rows.join(busy.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     members = members.withColumn("own", own)
     # block pair (i, j), i <= j, gets the members of i and j

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillmill.llm import components, embedding_dedup, simhash, substring_dedup
 from quillmill.llm.exact_dedup import exact_dedup
 from quillmill.llm.queries import oracle_sql, queries
+from quillmill.llm.store import materialize
 from tests.llm.conftest import awkward, sentence
 from tests.oracle import check, connect
 
@@ -119,6 +120,13 @@ def test_components_of_chains_and_stars(spark):
     assert got == roots({x for pair in real for x in pair}, real)
 
 
+def test_variants_are_not_sent_to_the_driver(spark):
+    prints = materialize(spark.range(5000).select(F.xxhash64("id").alias("fp")), "fps")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "256k")  # all of it would fit, by the file's size
+    plan = simhash.close_links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_by_five_word_shingles(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(3000)]
