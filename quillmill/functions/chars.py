@@ -47,6 +47,9 @@ LB = r"\n\x0B\f\r\x{001C}-\x{001E}\x{0085}\x{2028}\x{2029}"
 MK = r"\p{M}\x{0898}-\x{089F}\x{08CA}-\x{08D2}"
 #: Letters of any script.
 LT = r"\p{L}" + AL
+#: The same for Java alone, which walks through a class range by range: Arabic blocks met with its own letters, and those that are newer than its tables.
+JAVA_AL = f"[{AB}&&[\\p{{L}}{_pick(((0x0870, 0x08FF),), lambda c: unicodedata.category(c)[0] == 'L')}]]"
+JAVA_LT = r"\p{L}" + JAVA_AL
 HARAKAT = body([(0x064B, 0x065F)])
 SHADDA = "ّ"
 QURANIC = body([(0x06D6, 0x06ED), (0x0670, 0x0670)])

@@ -11,7 +11,8 @@ SCRIPTS = ("Arabic", "Latin", "Mixed", "Numeric", "Neutral")
 
 
 def count_class(text: Column, body: str) -> Column:
-    return F.regexp_count(text, F.lit(f"[{body}]"))
+    """How many characters of a class: what is left without the others. A list of all matches costs many times more."""
+    return F.length(F.regexp_replace(text, f"[^{body}]+", ""))
 
 
 def has_class(text: Column, body: str) -> Column:
@@ -47,7 +48,7 @@ def thousandths(value: Column) -> Column:
 
 
 def arabic_letters(text: Column) -> Column:
-    return count_class(text, C.AL)
+    return count_class(text, C.JAVA_AL)
 
 
 def latin_letters(text: Column) -> Column:
@@ -65,14 +66,14 @@ def classify(arabic: Column, latin: Column, n_digits: Column) -> Column:
 
 
 def script_class(text: Column) -> Column:
-    a, la = has_class(text, C.AL), has_class(text, C.LA)
+    a, la = has_class(text, C.JAVA_AL), has_class(text, C.LA)
     return F.when(a & la, "Mixed").when(a, "Arabic").when(la, "Latin").when(has_class(text, C.ND), "Numeric").otherwise("Neutral")
 
 
 def direction(text: Column) -> Column:
     """rtl or ltr by the first strong letter, else null."""
-    first = F.regexp_extract(text, f"[{C.AL}{C.LA}]", 0)
-    return F.when(first == "", None).when(first.rlike(f"[{C.AL}]"), "rtl").otherwise("ltr")
+    first = F.regexp_extract(text, f"[{C.JAVA_AL}{C.LA}]", 0)
+    return F.when(first == "", None).when(first.rlike(f"[{C.JAVA_AL}]"), "rtl").otherwise("ltr")
 
 
 def dominant_script(text: Column) -> Column:
@@ -91,16 +92,16 @@ def _cut_between(text: Column, first: str, second: str) -> Column:
 
 def script_runs(text: Column) -> Column:
     """Runs of one script; neutral characters go to the next run, at the end to the last."""
-    n = f"[^{C.AL}{C.LA}]*"
-    cut = _cut_between(_cut_between(text, f"[{C.AL}]", f"{n}[{C.LA}]"), f"[{C.LA}]", f"{n}[{C.AL}]")
+    n = f"[^{C.JAVA_AL}{C.LA}]*"
+    cut = _cut_between(_cut_between(text, f"[{C.JAVA_AL}]", f"{n}[{C.LA}]"), f"[{C.LA}]", f"{n}[{C.JAVA_AL}]")
     return F.filter(F.split(cut, _CUT), lambda r: r != "")
 
 
 def edited_runs(text: Column) -> Column:
     """Runs of an edited text, in which marks stay with the run before them; a text that is not Mixed is one run."""
-    n, p = f"[^{C.AL}{C.LA}]*", f"[^{C.AL}{C.LA}{C.MK}]*"
-    cut = _cut_between(text, f"[{C.AL}](?:{n}[{C.MK}])?", f"{p}[{C.LA}]")
-    cut = _cut_between(cut, f"[{C.LA}](?:{n}[{C.MK}])?", f"{p}[{C.AL}]")
+    n, p = f"[^{C.JAVA_AL}{C.LA}]*", f"[^{C.JAVA_AL}{C.LA}{C.MK}]*"
+    cut = _cut_between(text, f"[{C.JAVA_AL}](?:{n}[{C.MK}])?", f"{p}[{C.LA}]")
+    cut = _cut_between(cut, f"[{C.LA}](?:{n}[{C.MK}])?", f"{p}[{C.JAVA_AL}]")
     return F.when(script_class(text) == "Mixed", F.split(cut, _CUT)).otherwise(F.array(text))
 
 
@@ -148,7 +149,7 @@ def isolation_flags(text: Column) -> Column:
 
 
 def lone_flags(words: Column) -> Column:
-    lone = f"^[{C.MK}]*[{C.AL}][{C.MK}]*$"
+    lone = f"^[{C.MK}]*[{C.JAVA_AL}][{C.MK}]*$"
     return F.concat_ws("", F.transform(words, lambda k: F.when(k.rlike(lone), "1").otherwise("0")))
 
 
@@ -177,11 +178,11 @@ def mark_initial(text: Column) -> tuple[Column, Column]:
 
 def unusual_letters(text: Column) -> Column:
     """Letters that are neither Arabic nor Latin."""
-    return F.regexp_count(text, F.lit(rf"[\p{{L}}&&[^{C.AB}{C.LA}]]"))
+    return F.length(F.regexp_replace(text, rf"[\P{{L}}{C.AB}{C.LA}]+", ""))
 
 
 def letters(text: Column) -> Column:
-    return count_class(text, C.LT)
+    return count_class(text, C.JAVA_LT)
 
 
 def lines(text: Column) -> Column:
@@ -191,7 +192,7 @@ def lines(text: Column) -> Column:
 def punctuation_jumps(text: Column) -> Column:
     """Numbers (from 1) of lines that begin with sentence punctuation and have no letters."""
     def jumps(line: Column, k: Column) -> Column:
-        return F.when(line.rlike(rf"\A[{C.WS}]*[.،؛؟۔:!?]") & ~has_class(line, C.AL + C.LA), k + 1)
+        return F.when(line.rlike(rf"\A[{C.WS}]*[.،؛؟۔:!?]") & ~has_class(line, C.JAVA_AL + C.LA), k + 1)
 
     return F.array_compact(F.transform(lines(text), jumps))
 
@@ -202,32 +203,43 @@ def digit_punctuation(text: Column) -> Column:
     return F.regexp_count(text, F.lit(d + p)) + F.regexp_count(text, F.lit(p + d))
 
 
-def integrity_counts(text: Column, words: Column, flags: Column) -> dict[str, Column]:
-    """What the score is made of. words: those with an Arabic character; flags: of isolated tokens."""
+def longest_isolated(text: Column) -> Column:
+    """The longest run of isolated tokens; tokens are listed only if one of them is isolated."""
+    lone = rf"(?<![^{C.WS}])[{C.MK}]*+[{C.JAVA_AL}][{C.MK}]*+(?![^{C.WS}])"
+    return F.when(~text.rlike(lone), 0).otherwise(F.coalesce(F.array_max(F.transform(extract_all(isolation_flags(text), "1+"), F.length)), F.lit(0)))
+
+
+def count_jumps(text: Column) -> Column:
+    """How many lines :func:`punctuation_jumps` lists; lines are parted only if one begins so."""
+    starts = rf"(?:\A|[{C.LB}])[{C.WS}&&[^{C.LB}]]*+[.،؛؟۔:!?]"
+    return F.when(~text.rlike(starts), 0).otherwise(F.size(punctuation_jumps(text)))
+
+
+def integrity_counts(text: Column) -> dict[str, Column]:
+    """What the score is made of; words are tokens with an Arabic character."""
+    begin = f"(?<![^{C.WS}])"
     return {
         "n_letters": letters(text),
         "n_forms": count_class(text, C.PF),
         "n_unusual": unusual_letters(text),
-        "longest": F.coalesce(F.array_max(F.transform(extract_all(flags, "1+"), F.length)), F.lit(0)),
+        "longest": longest_isolated(text),
         "n_orphans": F.regexp_count(text, F.lit(rf"(?:\A|[{C.WS}])[{C.MK}]")),
-        "n_initial": F.size(F.filter(words, lambda w: w.rlike(f"^[{C.HARAKAT}]"))),
-        "n_words": F.size(words),
-        "n_jumps": F.size(punctuation_jumps(text)),
-        "arabic": has_class(text, C.AL),
+        "n_initial": F.regexp_count(text, F.lit(f"{begin}[{C.HARAKAT}]")),
+        "n_words": F.regexp_count(text, F.lit(f"{begin}[^{C.WS}{C.AB}]*+[{C.AB}]")),
+        "n_jumps": count_jumps(text),
+        "arabic": has_class(text, C.JAVA_AL),
     }
 
 
 def integrity(text: Column, severe: Column | None = None) -> dict[str, Column]:
     """Penalties (as doubles), score and level; null for text without Arabic letters. severe: number of severe bidi issues."""
-    return penalties(integrity_counts(text, F.filter(tokens(text), lambda w: w.rlike(f"[{C.AB}]")), isolation_flags(text)), severe)
+    return penalties(integrity_counts(text), severe)
 
 
 def with_integrity(frame: DataFrame, text: str = "t") -> DataFrame:
     """``frame`` with the counts, penalties and score; every count is computed once, in a projection of its own."""
-    frame = frame.withColumn("_tokens", tokens(F.col(text)))
-    frame = frame.withColumns({"_words": F.filter("_tokens", lambda w: w.rlike(f"[{C.AB}]")), "_flags": lone_flags(F.col("_tokens"))})
-    counts = integrity_counts(F.col(text), F.col("_words"), F.col("_flags"))
-    frame = frame.withColumns(counts).drop("_tokens", "_words", "_flags")
+    counts = integrity_counts(F.col(text))
+    frame = frame.withColumns(counts)
     frame = frame.withColumn("rate", _rate({k: F.col(k) for k in counts}))
     return frame.withColumns(penalties({k: F.col(k) for k in [*counts, "rate"]}))
 

@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill.functions import chars as C
 from quillmill.functions import text as T
 from quillmill.operators import furniture as U
 from quillmill.operators import geometry as G
@@ -180,3 +181,23 @@ def test_cluster_fold_matches_loop(spark):
         want = slow_clusters(values, 6.0)
         frame = spark.createDataFrame([(values,)], "v array<double>")
         assert frame.select(G.cluster_ids(F.col("v"), 6.0)).first()[0] == want
+
+
+def test_character_counts_list_no_matches_and_take_every_character(spark):
+    every = "".join(chr(c) for c in range(1, 0x3000)) + "".join(chr(c) for c in range(0xFB00, 0x10000)) + "😀𞤀"
+    rows = spark.createDataFrame([(every,), ("",), (None,)], "t string")
+    t = F.col("t")
+    for body, count in ((C.AL, T.arabic_letters(t)), (C.LT, T.letters(t)), (C.LA, T.latin_letters(t)), (C.MK, T.count_class(t, C.MK)), (f"\\p{{L}}&&[^{C.AB}{C.LA}]", T.unusual_letters(t))):
+        got = rows.select(count.alias("n"))
+        assert "extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert [r[0] for r in got.collect()] == [r[0] for r in rows.select(F.regexp_count(t, F.lit(f"[{body}]"))).collect()]
+
+
+def test_integrity_counts_equal_those_by_token(spark):
+    texts = ["ا ل س ل ا م كتاب", "اَ بَّ ت x", " َت كتاب ًا a1", "x" * 3000 + "ا", "abc\n ؟\r\n.، \n\n!ا", "", None, "ا " * 4000]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string")
+    t = F.col("t")
+    initial, words = T.mark_initial(t)
+    want = rows.select("k", T.spacing(t)["longest_run"], initial, words, F.size(T.punctuation_jumps(t))).orderBy("k").collect()
+    got = T.with_integrity(rows).select("k", "longest", "n_initial", "n_words", "n_jumps").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
