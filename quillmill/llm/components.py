@@ -7,8 +7,11 @@ join that hands them out leaves the links of such nodes where they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +23,34 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _all_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of a task; the smaller of two roots stays."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    roots = [root(x) for x in list(parent)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(parent), dtype=np.int64)), pa.array(np.array(roots, dtype=np.int64))], ["node", "root"])
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", *, at_once: int = 0) -> DataFrame:
     """``node, root`` for every node of ``links``; root is the smallest node reachable.
 
     Links with a null end are ignored; self-links give a node its own component.
-    Repeated links and either direction are fine.
+    Repeated links and either direction are fine. No more than ``at_once`` links are solved by
+    one task, which spares the driver the plans of some twenty queries.
     """
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null")
     links = materialize(links, "cc-links")
+    if at_once and links.count() <= at_once:
+        return links.coalesce(1).mapInArrow(_all_at_once, "node long, root long")
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = materialize(edges, "cc-0"), None
     for k in count(1):  # the rounds grow with the logarithm of the longest chain

@@ -209,6 +209,8 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, id_co
 
 #: Texts whose shingles are counted to learn which are common, and the most shingles that are so kept.
 SAMPLE, MOST_COMMON = 20_000, 200_000
+#: As many links between near copies, or fewer, are solved in one task.
+FEW_LINKS = 100_000
 #: Bits of a set's sketch, and of one with many members: a multiple of the first.
 BITS, LONG_BITS, MANY_MEMBERS = 1024, 8192, 1000
 
@@ -269,8 +271,8 @@ def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) ->
 
     some = docs.filter(F.pmod(F.xxhash64(row_col), F.lit(10_000)) < round(10_000 * share)).select(F.col(text_col).alias("text"))
     counted = some.mapInArrow(shingles, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
-    found = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    keys, n = (np.array([r[i] for r in found], dtype=np.int64) for i in (0, 1))
+    found = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()  # rows of Python would take far more of the driver
+    keys, n = (found.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(keys.view(np.uint64))
     return keys.view(np.uint64)[order], n[order]
 
@@ -469,11 +471,11 @@ def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: f
 
     first = verified(lead_pairs(shared, nodes, similarity), "first")
     # what is known is handed on as stars, whose components take few rounds
-    known = materialize(connected_components(first), "near-known")
+    known = materialize(connected_components(first, at_once=FEW_LINKS), "near-known")
     second = verified(open_pairs(shared, nodes, known, similarity, nearest=True), "second")
-    known = materialize(connected_components(second.union(known.select("node", "root"))), "near-known")
+    known = materialize(connected_components(second.union(known.select("node", "root")), at_once=FEW_LINKS), "near-known")
     rest = verified(open_pairs(shared, nodes, known, similarity), "rest")
-    roots = connected_components(rest.union(known.select("node", "root")))
+    roots = connected_components(rest.union(known.select("node", "root")), at_once=FEW_LINKS)
     rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rows = materialize(rows.select("row", "doc_id", F.coalesce("root", "fp").alias("component")), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")

@@ -120,6 +120,28 @@ def test_components_of_chains_and_stars(spark):
     assert got == roots({x for pair in real for x in pair}, real)
 
 
+@pytest.mark.parametrize("at_once", [400, 10])
+def test_components_of_few_links(spark, at_once):
+    rng = random.Random(3)
+    links = [(k + 1, k) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(7, 7), (900, 900), (None, 3), (5, None)]
+    links += [(-2000 + rng.randrange(80), -2000 + rng.randrange(80)) for _ in range(60)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), at_once=at_once).collect()}
+    real = [(a, b) for a, b in links if a is not None and b is not None]
+    assert got == roots({x for pair in real for x in pair}, real)
+
+
+def test_near_copies_take_few_jobs(spark):
+    """Each leaves its plan in the driver."""
+    last = lambda: [spark.range(1).collect(), max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))][1]
+    rng = random.Random(19)
+    base = [sentence(rng, 60) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate([*base, *(f"{t} more" for t in base)])), "doc_id long, text string").withColumn("r", F.col("doc_id"))
+    before = last()
+    got = simhash.near_duplicates(rows, "r").collect()
+    assert sum(r["kept"] for r in got) == 20
+    assert last() - before < 125
+
+
 def test_variants_are_not_sent_to_the_driver(spark):
     prints = materialize(spark.range(5000).select(F.xxhash64("id").alias("fp")), "fps")
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "256k")  # all of it would fit, by the file's size
