@@ -132,9 +132,12 @@ def variants(prints: DataFrame) -> DataFrame:
     )
 
 
-def close_links(prints: DataFrame, distance: int = 3, block: int = 2048) -> DataFrame:
-    """``a, b``: links between distinct fingerprints of ``prints`` (column fp, unique) that keep all components."""
-    if not 0 <= distance <= 3:
+def close_links(prints: DataFrame, distance: int = 3, block: int = 2048, *, every: bool = True) -> DataFrame:
+    """``a, b``: links between distinct fingerprints of ``prints`` (column fp, unique) that keep all components.
+
+    Without ``every``, links of more than three bits are allowed, of which only those in whose pair one segment differs in at most one bit are found.
+    """
+    if every and not 0 <= distance <= 3:
         raise ValueError("two segments with one wildcard find up to three differing bits")
     rows = variants(prints)
     sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"), F.first("part").alias("part"))
@@ -201,14 +204,17 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, id_co
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-# Looser similarities than three bits of 64: sets of word shingles, found by their rarest members.
+# Near copies: sets of word shingles, found by their fingerprints and then by their rarest members.
 #
-# In one order of all shingles, two sets with a Jaccard similarity of t or more share a member among the
-# first n - ceil(t n) + 1 of each (n its own size). The order puts shingles that are common in a sample last, so
+# Fingerprints that share a deletion variant propose pairs, as above. Sets with a similarity of 0.8 differ in
+# about ten bits, and often share none; an exact way finds those. In one order of all shingles, two sets with a
+# Jaccard similarity of t or more share a member among the first n - ceil(t n) + 1 of each (n its own size). The order puts shingles that are common in a sample last, so
 # groups stay small; any order gives the same result.
 
 #: Texts whose shingles are counted to learn which are common, and the most shingles that are so kept.
 SAMPLE, MOST_COMMON = 20_000, 200_000
+#: Differing bits of a pair that is still compared. No result depends on it.
+LOOSE_BITS = 16
 #: As many links between near copies, or fewer, are solved in one task.
 FEW_LINKS = 100_000
 #: Bits of a set's sketch, and of one with many members: a multiple of the first.
@@ -278,7 +284,7 @@ def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) ->
 
 
 def shingle_sets(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """``row, doc_id, fp, n, sketch, prefix``: fp is a hash of the whole set of shingles, prefix its first members as bytes."""
+    """``row, doc_id, fp, bits, n, sketch, prefix``: fp is a hash of the whole set of shingles, bits its SimHash fingerprint, prefix its first members as bytes."""
     from xxhash import xxh64_intdigest
 
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, row_col, text_col, words))
@@ -286,7 +292,7 @@ def shingle_sets(docs: DataFrame, row_col: str, id_col: str, text_col: str, word
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
         for batch in batches:
-            fps, sizes, sketches, prefixes = [], [], [], []
+            fps, bits, sizes, sketches, prefixes = [], [], [], [], []
             for t in batch.column(2):
                 x = np.unique(shingle_hashes(t.as_py(), words))
                 rank = np.zeros(len(x), dtype=np.int64)
@@ -294,16 +300,30 @@ def shingle_sets(docs: DataFrame, row_col: str, id_col: str, text_col: str, word
                     at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                     rank = np.where(common[at] == x, counts[at], 0)
                 fps.append(xxh64_intdigest(x.tobytes(), SEED))
+                bits.append(majority_bits(x))
                 sizes.append(len(x))
                 sketches.append(sketch(x))
                 prefixes.append(x[np.argsort(rank, kind="stable")[: prefix_size(len(x), similarity)]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())],
-                ["row", "doc_id", "fp", "n", "sketch", "prefix"],
+                [batch.column(0), batch.column(1), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, bits)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())],
+                ["row", "doc_id", "fp", "bits", "n", "sketch", "prefix"],
             )
 
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(prints, "row long, doc_id long, fp long, n long, sketch binary, prefix binary")
+    return rows.mapInArrow(prints, "row long, doc_id long, fp long, bits long, n long, sketch binary, prefix binary")
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of nodes (fp, bits) whose fingerprints share a deletion variant and differ in at most ``LOOSE_BITS`` bits, as many as join all that such pairs join.
+
+    These include all pairs that differ in three bits or fewer. Nodes of one fingerprint are paired with the first of them, and the firsts of linked fingerprints with each other.
+    """
+    firsts = materialize(nodes.groupBy("bits").agg(F.min("fp").alias("first")), "near-bits")
+    links = close_links(firsts.select(F.col("bits").alias("fp")), LOOSE_BITS, every=False)
+    for end in "ab":
+        links = links.join(firsts.select(F.col("bits").alias(end), F.col("first").alias(f"first_{end}")), end)
+    same = nodes.select("fp", "bits").join(firsts, "bits").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    return links.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def shared_shingles(nodes: DataFrame) -> DataFrame:
@@ -446,14 +466,15 @@ def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: f
     """One row per input row: ``row, doc_id, component, kept``; one row of each component is kept.
 
     Documents link if the Jaccard similarity of their sets of word shingles is ``similarity`` or
-    more, whatever their lengths; the components are those of all such pairs. Each document is first compared with up to two
+    more, whatever their lengths; the components are those of all such pairs. Pairs come from SimHash fingerprints of the sets that share
+    a deletion variant, and each is compared exactly. Similar sets need not share one, so each document is also compared with up to two
     members of its shingles' groups, then with the one that may be most similar; what this joins needs no more comparisons, and all other
     pairs that share a shingle of their prefixes are looked at. ``row_col`` holds a unique
     long that every scan reads alike. The row with the smallest doc_id stays (nulls last, then the smallest row). Documents without words link with one another.
     An empty table gives an empty result.
     """
     prints = materialize(shingle_sets(docs, row_col, id_col, text_col, words, similarity), "near-sets")
-    nodes = prints.groupBy("fp").agg(F.min_by(F.struct("n", "sketch", "prefix"), "row").alias("set"), F.min("row").alias("row"))
+    nodes = prints.groupBy("fp").agg(F.min_by(F.struct("bits", "n", "sketch", "prefix"), "row").alias("set"), F.min("row").alias("row"))
     wide = materialize(nodes.select("fp", "set.*", "row"), "near-wide")
     rows = materialize(prints.select("row", "doc_id", "fp"), "near-prints")
     drop(prints)
@@ -469,7 +490,7 @@ def near_duplicates(docs: DataFrame, row_col: str, words: int = 5, similarity: f
         texts = materialize(some.join(involved, "row").select("fp", "text"), f"near-{name}-texts")
         return materialize(similar(pairs, texts, words, similarity), f"near-{name}")
 
-    first = verified(lead_pairs(shared, nodes, similarity), "first")
+    first = verified(fingerprint_pairs(nodes).union(lead_pairs(shared, nodes, similarity)).distinct(), "first")
     # what is known is handed on as stars, whose components take few rounds
     known = materialize(connected_components(first, at_once=FEW_LINKS), "near-known")
     second = verified(open_pairs(shared, nodes, known, similarity, nearest=True), "second")

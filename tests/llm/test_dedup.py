@@ -225,6 +225,48 @@ def test_open_pairs_are_all_pairs_of_a_group(spark):
         assert got == {(a, b) for b in range(8) for a in range(b)} - {(1, 2)}
 
 
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    """With what completes the fingerprints' pairs switched off, close copies are found and nothing else."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(4000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(1500)]
+        near = list(base)
+        near[rng.randrange(1500)] = "changed"
+        texts += [" ".join(base), " ".join(near), " ".join([*base[:750], *(rng.choice(words) for _ in range(750))])]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "lead_pairs", lambda *a, **k: none)
+    monkeypatch.setattr(simhash, "open_pairs", lambda *a, **k: none)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("r", F.col("doc_id"))
+    gone = {r["doc_id"] for r in simhash.near_duplicates(rows, "r").collect() if not r["kept"]}
+    assert all(i % 3 == 1 for i in gone) and len(gone) >= 50
+
+
+def test_fingerprint_pairs_join_all_within_three_bits(spark):
+    rng = random.Random(17)
+    prints = [rng.getrandbits(63) for _ in range(20)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(63), 3)) for p in prints] + prints[:5]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "fp long, bits long")
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 3]
+    got = [tuple(r) for r in simhash.fingerprint_pairs(nodes).collect()]
+    assert roots(range(len(prints)), got) == roots(range(len(prints)), pairs)
+
+
+def test_unlike_sets_of_one_fingerprint_lose_nothing(spark, monkeypatch):
+    """All are paired with the first only, which is like none: the rest finds their copies."""
+    monkeypatch.setattr(simhash, "majority_bits", lambda hashes: 5)
+    rng = random.Random(18)
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(4000)]
+    texts = ["alone"]
+    for n in range(40, 70):
+        base = [rng.choice(words) for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[:-2]), " ".join(base[: n // 2])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("r", F.col("doc_id"))
+    got = {r["doc_id"] for r in simhash.near_duplicates(rows, "r").collect() if r["kept"]}
+    assert got == set(shingle_components(texts).values())
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(1)
     rows = []
