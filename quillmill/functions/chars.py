@@ -48,8 +48,13 @@ MK = r"\p{M}\x{0898}-\x{089F}\x{08CA}-\x{08D2}"
 #: Letters of any script.
 LT = r"\p{L}" + AL
 #: The same for Java alone, which walks through a class range by range: Arabic blocks met with its own letters, and those that are newer than its tables.
-JAVA_AL = f"[{AB}&&[\\p{{L}}{_pick(((0x0870, 0x08FF),), lambda c: unicodedata.category(c)[0] == 'L')}]]"
+JAVA_AL = f"[\\x{{0600}}-\\x{{FEFF}}&&[{body(sorted(ARABIC_BLOCKS, key=lambda b: b[0] not in (0x0600, 0xFE70)))}]&&[\\p{{L}}{_pick(((0x0870, 0x08FF),), lambda c: unicodedata.category(c)[0] == 'L')}]]"
 JAVA_LT = r"\p{L}" + JAVA_AL
+#: Latin letters and white space for Java, after a few ranges that most other characters fail.
+JAVA_LA = f"[\\x{{0041}}-\\x{{024F}}&&[{LA}]]"
+JAVA_WS = f"[[\\x{{0000}}-\\x{{0020}}\\x{{0085}}-\\x{{00A0}}\\x{{1680}}-\\x{{3000}}]&&[{WS}]]"
+#: Presentation forms, marks and letters neither Arabic nor Latin, for Java; before that the ranges without any that most characters lie in.
+JAVA_SUSPECT = f"[[^\\x{{0000}}-\\x{{00A9}}\\x{{00C0}}-\\x{{024F}}\\x{{0620}}-\\x{{064A}}]&&[{PF}{MK}[\\p{{L}}&&[^{AB}{LA}]]]]"
 HARAKAT = body([(0x064B, 0x065F)])
 SHADDA = "ّ"
 QURANIC = body([(0x06D6, 0x06ED), (0x0670, 0x0670)])

@@ -28,7 +28,9 @@ def tokens(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{C.WS}]+", " "))
+    """White space as single spaces, none at the ends; most texts have no other and are only trimmed."""
+    other = F.contains(text, F.lit("  ")) | text.rlike(f"[{C.JAVA_WS}&&[^ ]]")
+    return F.when(other, F.trim(F.regexp_replace(text, f"{C.JAVA_WS}+", " "))).otherwise(F.trim(text))
 
 
 def strip_ws(text: Column) -> Column:
@@ -52,7 +54,7 @@ def arabic_letters(text: Column) -> Column:
 
 
 def latin_letters(text: Column) -> Column:
-    return count_class(text, C.LA)
+    return count_class(text, C.JAVA_LA)
 
 
 def digits(text: Column) -> Column:
@@ -153,6 +155,12 @@ def lone_flags(words: Column) -> Column:
     return F.concat_ws("", F.transform(words, lambda k: F.when(k.rlike(lone), "1").otherwise("0")))
 
 
+def is_spaced(text: Column) -> Column:
+    """Whether three isolated tokens follow each other, which is to say that :func:`longest_isolated` is 3 or more."""
+    lone = f"[{C.MK}]*+[{C.JAVA_AL}][{C.MK}]*+"
+    return text.rlike(rf"(?:\A|{C.JAVA_WS}){lone}{C.JAVA_WS}++{lone}{C.JAVA_WS}++{lone}(?:{C.JAVA_WS}|\z)")
+
+
 def spacing(text: Column) -> dict[str, Column]:
     flags = isolation_flags(text)
     runs = extract_all(flags, "1+")
@@ -236,6 +244,23 @@ def integrity(text: Column, severe: Column | None = None) -> dict[str, Column]:
     return penalties(integrity_counts(text), severe)
 
 
+def needed_counts(frame: DataFrame, text: str) -> DataFrame:
+    """``frame`` with counts that give the penalties of :func:`integrity_counts`: letters where there are forms, words where one begins with a vowel mark, and three isolated tokens for three or more."""
+    t = F.col(text)
+    counts = {k: v for k, v in integrity_counts(t).items() if k not in ("n_letters", "longest", "n_words")}
+    counts["n_initial"] = F.regexp_count(t, F.lit(f"[{C.HARAKAT}](?<![^{C.WS}][{C.HARAKAT}])"))
+    frame = frame.withColumns(counts)
+    every = integrity_counts(t)
+    return frame.withColumns({"n_letters": F.when(F.col("n_forms") > 0, every["n_letters"]).otherwise(0), "longest": F.when(is_spaced(t), 3).otherwise(0), "n_words": F.when(F.col("n_initial") > 0, every["n_words"]).otherwise(0)})
+
+
+def with_penalties(frame: DataFrame, text: str = "t") -> DataFrame:
+    """``frame`` with the penalties and score of :func:`with_integrity`, from the counts that these need."""
+    counts = integrity_counts(F.col(text))
+    frame = needed_counts(frame, text).withColumn("rate", _rate({k: F.col(k) for k in counts}))
+    return frame.withColumns(penalties({k: F.col(k) for k in [*counts, "rate"]}))
+
+
 def with_integrity(frame: DataFrame, text: str = "t") -> DataFrame:
     """``frame`` with the counts, penalties and score; every count is computed once, in a projection of its own."""
     counts = integrity_counts(F.col(text))
@@ -266,6 +291,14 @@ def integrity_level(score: Column) -> Column:
     return F.when(score >= 0.85, "good").when(score >= 0.6, "review_recommended").when(score.isNotNull(), "problem_likely")
 
 
+def may_be_problem(text: Column) -> Column:
+    """False if no text made of these characters (and of others that are neither letters beyond Latin nor marks) scores below 0.6.
+
+    Without presentation forms, unusual letters and marks, only spacing (0.25) and a jump (0.1) can be taken off; without Arabic letters there is no score.
+    """
+    return text.rlike(rf"\A(?=[^{C.JAVA_SUSPECT}]*+[{C.JAVA_SUSPECT}])[^{C.JAVA_AL}]*+[{C.JAVA_AL}]")
+
+
 # paragraphs -----------------------------------------------------------------
 
 

@@ -86,23 +86,23 @@ def _joins(rows: DataFrame) -> DataFrame:
     width for the page; with one it is carried along the page's blocks.
     """
     order = W.partitionBy(*PAGE).orderBy("ord")
-    plain = rows.filter("gutter is null").withColumn("joins", F.expr("goes and (fragment or (fits and before_width >= own_width * 0.55))"))
-    so_far = F.collect_list(F.struct("goes", "fragment", "fits", "before_width", "own_width")).over(order)  # of one page
+    plain = F.expr("goes and (fragment or (fits and before_width >= own_width * 0.55))")
+    so_far = F.collect_list(F.when(F.col("gutter").isNotNull(), F.struct("goes", "fragment", "fits", "before_width", "own_width"))).over(order)  # of one page
 
     def step(acc: Column, b: Column) -> Column:
         joins = b["goes"] & (b["fragment"] | (b["fits"] & (b["before_width"] >= acc["width"] * 0.55)))
         return F.struct(F.when(joins, acc["width"]).otherwise(b["own_width"]).alias("width"), joins.alias("joins"))
 
     start = F.struct(F.lit(0.0).alias("width"), F.lit(False).alias("joins"))
-    split = rows.filter("gutter is not null").withColumn("_so_far", so_far)
-    return plain.unionByName(split.withColumn("joins", F.aggregate("_so_far", start, step, lambda acc: acc["joins"])).drop("_so_far"))
+    carried = F.aggregate("_so_far", start, step, lambda acc: acc["joins"])
+    return rows.withColumn("_so_far", so_far).withColumn("joins", F.when(F.col("gutter").isNull(), plain).otherwise(carried)).drop("_so_far")
 
 
 def paragraph_flow(blocks: DataFrame) -> DataFrame:
     """One row per paragraph, heading or footnote.
 
     ``blocks``: ord, text, box, size, ref_width, page_x0, page_x1, level (of
-    headings), marker (of footnotes) and, if pages may have columns, gutter and own_width. Letterless
+    headings), marker (of footnotes), clean if it is known, and, if pages may have columns, gutter and own_width. Letterless
     fragments join the open paragraph as they are and leave its box alone.
     """
     if "gutter" not in blocks.columns:
@@ -110,12 +110,14 @@ def paragraph_flow(blocks: DataFrame) -> DataFrame:
     page = W.partitionBy(*PAGE)
     order = page.orderBy("ord")
     rows = blocks.withColumn("before_x0", F.lag("x0").over(order)).withColumn("before_x1", F.lag("x1").over(order))
-    rows = rows.withColumn("clean", T.collapse_ws(F.col("text"))).filter("clean <> ''")
+    if "clean" not in rows.columns:
+        rows = rows.withColumn("clean", T.collapse_ws(F.col("text")))
+    rows = rows.filter("clean <> ''")
     rows = rows.withColumn("is_heading", F.col("level").isNotNull()).withColumn("solo", F.col("is_heading") | F.col("marker").isNotNull())
     same_column = ~((F.col("x0") > F.col("before_x1") + 20) | (F.col("before_x0") > F.col("x1") + 20))
-    fits = same_column & (F.abs(F.col("size") - F.lag("size").over(order)) <= 1.0) & ~T.ends_terminal(F.lag("clean").over(order))
+    fits = same_column & (F.abs(F.col("size") - F.lag("size").over(order)) <= 1.0) & ~T.ends_terminal(F.lag(F.substring("clean", -1, 1)).over(order))
     rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("before_width", F.coalesce(F.greatest(F.lit(0.0), F.lag(F.col("x1") - F.col("x0")).over(order)), F.lit(0.0)))
-    rows = rows.withColumn("fragment", T.arabic_letters(F.col("clean")) + T.latin_letters(F.col("clean")) == 0)
+    rows = rows.withColumn("fragment", ~T.has_class(F.col("clean"), C.JAVA_AL + C.JAVA_LA))
     rows = rows.withColumn("goes", ~F.col("solo") & ~F.coalesce(F.lag("solo").over(order), F.lit(True))).withColumn("before_clean", F.lag("clean").over(order))
     rows = _joins(rows)
     glue = F.when(F.col("fragment") | T.starts_no_space(F.col("clean")) | F.col("before_clean").rlike(f"[{HYPHENS}]$"), "").otherwise(" ")

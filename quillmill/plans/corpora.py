@@ -7,7 +7,7 @@ dialects differ, so that both sides read the same corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 595.0, 842.0
@@ -72,15 +72,21 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_spark(_SCRIPTS)} as t")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, line: the documents' lines, in a script."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+def scripted(col: str) -> Column:
+    """A column of ``documents`` in the document's script; lines are made of no other characters."""
+    return F.expr(_spark(_scripted(col)))
+
+
+def lines(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, line_no, line: the lines of ``docs`` (all documents), in a script."""
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     return docs.selectExpr("doc_id", "line_no", f"{_spark(_scripted('raw'))} as line")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page, block_no, text, x0, y0, x1, y1, size, flags: eight lines to a page, with page furniture."""
-    rows = lines(spark, sf_dir).selectExpr("doc_id", "cast(line_no div 8 + 1 as int) as page", "cast(line_no % 8 as int) as block_no", "line")
+def blocks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, block_no, text, x0, y0, x1, y1, size, flags: eight lines to a page, with page furniture; of ``docs`` (all documents)."""
+    rows = lines(spark, sf_dir, docs).selectExpr("doc_id", "cast(line_no div 8 + 1 as int) as page", "cast(line_no % 8 as int) as block_no", "line")
     rows = rows.selectExpr("doc_id", "page", "block_no", f"{_spark(_BLOCK_TEXT)} as text", f"cast({_X0} as double) as x0", f"cast({_spark(_Y0)} as double) as y0", f"cast({_SIZE} as double) as size", f"{_FLAGS} as flags")
     return rows.selectExpr("doc_id", "page", "block_no", "text", "x0", "y0", f"cast({_X1} as double) as x1", f"cast({_Y1} as double) as y1", "size", "flags")
 

@@ -90,16 +90,20 @@ def image_caption_join(spark, sf_dir):
 # paragraphs: all blocks but furniture, in reading order -----------------------------------
 
 
-def flow_blocks(spark, sf_dir):
-    """Blocks without furniture in reading order, by columns where a page has them, with what paragraph building asks for."""
-    content = U.without_furniture(K.blocks(spark, sf_dir), H)
-    rows = G.reading_order(content, G.find_gutters(content, WD)).drop("gutters", "rtl", "by_column", "confidence").join(G.find_gutter(content, WD), G.PAGE)
+def flow_blocks(spark, sf_dir, docs=None):
+    """Blocks of ``docs`` (all documents) without furniture in reading order, by columns where a page has them, with what paragraph building asks for.
+
+    Documents are dealt out once, before blocks are made of them; every window after that stays inside a document.
+    """
+    docs = (K.table(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "text").repartition("doc_id")
+    content = U.without_furniture(K.blocks(spark, sf_dir, docs), H)
+    rows = G.in_order(G.with_gutters(content, WD)).drop("gutters", "rtl", "by_column", "confidence")
     rows = S.with_column_width(S.with_headings(S.with_reference_width(S.with_body_size(rows))))
     return rows.withColumn("marker", F.when(F.col("level").isNull(), S.footnote_marker(H)))
 
 
-def paragraphs(spark, sf_dir):
-    return S.paragraph_flow(flow_blocks(spark, sf_dir))
+def paragraphs(spark, sf_dir, docs=None):
+    return S.paragraph_flow(flow_blocks(spark, sf_dir, docs))
 
 
 _CONTENT = "content AS (SELECT b.* FROM blocks b ANTI JOIN furniture USING (doc_id, page, block_no))"
@@ -251,8 +255,13 @@ def document_blocks(spark, sf_dir):
     """doc_id, block_id, seq, page, para, type, level, text, confidence, box: a document's blocks in order."""
     rows = with_quotes(spark, sf_dir)
     kind = F.when(F.col("marker").isNotNull(), "footnote").when(F.col("is_heading"), "heading").when(F.col("quote"), "quote").otherwise("paragraph")
-    rows = rows.withColumn("type", kind).withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "para")))
-    return rows.withColumn("block_id", F.format_string("block-%03d", "seq")).drop("quote")
+    return numbered(rows.withColumn("type", kind)).drop("quote")
+
+
+def numbered(rows):
+    """``rows`` with seq and block_id: paragraphs by page, whatever their type."""
+    rows = rows.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "para")))
+    return rows.withColumn("block_id", F.format_string("block-%03d", "seq"))
 
 
 @query("block_ids", K.with_corpora(f", {BLOCKS} SELECT doc_id, page, para, block_id FROM document_blocks"))
@@ -304,10 +313,10 @@ def primary_language(spark, sf_dir):
 SCORED = f"{BLOCKS}, {X.integrity_cte('document_blocks', 'doc_id, page, seq, block_id', 'text')}, graded AS (SELECT *, {X.thousandths('score')} AS milli, {X.LEVEL} AS level_name FROM scored WHERE score IS NOT NULL)"
 
 
-def graded(spark, sf_dir):
-    """Blocks with Arabic letters: score in thousandths and level."""
-    rows = document_blocks(spark, sf_dir).withColumn("t", F.col("text"))
-    return X.scored(rows, "doc_id", "page", "seq", "block_id").filter("score is not null").withColumn("milli", T.thousandths(F.col("score")))
+def graded(spark, sf_dir, docs=None):
+    """Blocks of ``docs`` (all documents) with Arabic letters: score in thousandths and level."""
+    rows = numbered(paragraphs(spark, sf_dir, docs)).withColumn("t", F.col("text")).filter(T.has_class(F.col("text"), C.JAVA_AL))
+    return X.scored(rows, "doc_id", "page", "seq", "block_id").withColumn("milli", T.thousandths(F.col("score")))
 
 
 @query("integrity_by_page", K.with_corpora(f", {SCORED} SELECT doc_id, page, count(*) AS n, sum(milli)::BIGINT AS total_milli FROM graded GROUP BY ALL"))
@@ -317,8 +326,11 @@ def integrity_by_page(spark, sf_dir):
 
 @query("low_confidence_blocks", K.with_corpora(f", {SCORED} SELECT doc_id, string_agg(block_id, ',' ORDER BY seq) AS block_ids, count(*) AS n FROM graded WHERE level_name = 'problem_likely' GROUP BY doc_id"))
 def low_confidence_blocks(spark, sf_dir):
-    low = graded(spark, sf_dir).filter("level = 'problem_likely'")
-    return low.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block_id"))), lambda s: s["block_id"]), ",").alias("block_ids"), F.count("*").alias("n"))
+    """Pages are built only of documents whose characters allow for so low a score; of others no block could have it."""
+    docs = K.table(spark, sf_dir, "documents").filter(T.may_be_problem(K.scripted("text")))
+    low = F.when(F.col("level") == "problem_likely", F.struct("seq", "block_id"))  # not as a filter, into which Spark would copy every count of the score again and again
+    rows = graded(spark, sf_dir, docs).withColumn("low", low).groupBy("doc_id").agg(F.array_sort(F.collect_list("low")).alias("low"))
+    return rows.filter("size(low) > 0").select("doc_id", F.array_join(F.transform("low", lambda s: s["block_id"]), ",").alias("block_ids"), F.size("low").cast("long").alias("n"))
 
 
 _ISSUES = "list_filter([CASE WHEN n_forms > 0 THEN 'PRESENTATION_FORMS_DETECTED' END, CASE WHEN n_unusual > 0 THEN 'UNUSUAL_CHARACTERS' END, CASE WHEN longest >= 3 THEN 'SUSPICIOUS_SPACING' END, CASE WHEN n_orphans > 0 THEN 'COMBINING_MARK_ANOMALY' END, CASE WHEN rate >= 0.2::DOUBLE THEN 'REVERSED_ORDER_SUSPECTED' END, CASE WHEN n_jumps > 0 THEN 'BIDI_ANOMALY' END], lambda x: x IS NOT NULL)"

@@ -169,7 +169,7 @@ LEVEL = "CASE WHEN score >= 0.85::DOUBLE THEN 'good' WHEN score >= 0.6::DOUBLE T
 
 def scored(frame, *keys: str):
     """``keys``, score and level of the texts in column t."""
-    rows = T.with_integrity(frame.select(*keys, "t")).select(*keys, "t", "forms", "unusual", "spaced", "orphans", "reversal", "score")
+    rows = T.with_penalties(frame.select(*keys, "t")).select(*keys, "t", "forms", "unusual", "spaced", "orphans", "reversal", "score")
     return rows.withColumn("level", T.integrity_level(F.col("score")))
 
 
